@@ -35,12 +35,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(p).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("distance")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import found, named
+
+    spans = found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(("email", "ip", "card", "phone"))]
+    return spans.select("doc_id", *counts, F.sha2(named(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import roundtrip
 
     return roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op5_quality_rules, op7_pii, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
