@@ -35,6 +35,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(p).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), limit=4, words=4)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
@@ -56,6 +62,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op5_quality_rules, op7_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op4_simhash, op5_quality_rules, op7_pii, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
