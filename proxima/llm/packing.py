@@ -11,11 +11,11 @@ table gives no rows. Texts of any length are tokenised whole, word by word, in b
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,36 +29,76 @@ NODES = 2000
 WORDS_KEPT = 400_000
 
 
+#: Between an ASCII letter or digit and ASCII punctuation other than the apostrophe, tokens always end.
+SEAM = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+
+
 class WordIds:
-    """Ids of words as little-endian 32-bit bytes. Tokenisers that drop white space encode the words of a text separately."""
+    """Ids of words as little-endian 32-bit bytes, for a lower-casing tokeniser of words that drops white space.
+
+    Such a tokeniser encodes the words of a text separately, so each distinct word is encoded once while it is remembered.
+    New words that are letters only are encoded together as one text, whose ids are parted after each end of a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t, self.known = Tokenizer.from_file(path), {}
         self.t.encode_special_tokens = True  # their strings in a text are then ordinary text
-
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.t.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        vocab = self.t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = list(map(bytes.decode, words))
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for at in range(0, len(plain), 5000):
+            own = plain[at : at + 5000]
+            ids = np.array(self.t.encode_batch_fast([" ".join([texts[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(own) or cuts[-1] != len(ids):  # not one piece for each word
+                alone += own
+                continue
+            data, a = ids.tobytes(), 0
+            for i, b in zip(own, (4 * cuts).tolist()):
+                self.known[words[i]] = data[a:b]
+                a = b
+        for at in range(0, len(alone), 5000):
+            own = alone[at : at + 5000]
+            for i, e in zip(own, self.t.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)):
+                self.known[words[i]] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [SEAM.sub(b" ", t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]  # bytes.lower is A-Z only
+        words = set().union(*split)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.known.clear()
+            new = words
+        self._learn(list(new))
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+
+
+_OPEN: dict[str, WordIds] = {}
+
+
+def _word_ids(path: str) -> WordIds:
+    """This worker's tokeniser; a reused worker keeps it."""
+    if path not in _OPEN:
+        _OPEN.clear()
+        _OPEN[path] = WordIds(path)
+    return _OPEN[path]
 
 
 def _pieces(tokenizer: str, capacity: int, keep_ids: bool):
     def run(batches):
-        w = WordIds(tokenizer)
+        w = _word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                data = w.ids(text.as_py()) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), w.ids(batch.column("text").to_pylist())):
+                data = ids + end
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
                     for k, v in (("doc_id", doc), ("piece", n), ("start", at // 4), ("length", len(own) // 4), ("ids_crc32", zlib.crc32(own)), ("ids", own)):
@@ -76,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, with keep_ids, the ids as little-endian 32-bit bytes."""
     small_batches(docs.sparkSession, 500)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(_pieces(tokenizer, capacity, keep_ids), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text")).mapInArrow(_pieces(tokenizer, capacity, keep_ids), schema)
 
 
 class _Fill:
