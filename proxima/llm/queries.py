@@ -47,6 +47,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("distance")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import found, named
 
@@ -62,6 +70,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op4_simhash, op5_quality_rules, op7_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op4_simhash, op5_quality_rules, op6_bpe, op7_pii, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
