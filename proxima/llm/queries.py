@@ -64,12 +64,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(named(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cnn import model, scored
+
+    docs = table(spark, sf_dir, "documents")
+    out = scored(docs.select("doc_id", "text"), model(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import roundtrip
 
     return roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op4_simhash, op5_quality_rules, op6_bpe, op7_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op4_simhash, op5_quality_rules, op6_bpe, op7_pii, op8_quality_cnn, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
