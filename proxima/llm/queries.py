@@ -73,12 +73,18 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import roundtrip
 
     return roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op4_simhash, op5_quality_rules, op6_bpe, op7_pii, op8_quality_cnn, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk_search, op3_packing, op4_simhash, op5_quality_rules, op6_bpe, op7_pii, op8_quality_cnn, op9_lm_scoring, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
