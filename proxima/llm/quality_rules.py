@@ -171,3 +171,14 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     s = s.join(F.broadcast(est) if groups <= BROADCAST_GROUPS else est, "g", "left").withColumn("distance", F.when(F.col("known") & ~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return s.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *counts, "base_failed", "distance", kept.alias("kept"))
+
+
+def kept(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that the rules keep. A verdict depends on text, language and source only, so it is joined by id and their hash."""
+    key = lambda: F.xxhash64(*[F.col(f"`{c}`").cast("string") if c in docs.columns else F.lit("") for c in (text, lang, source)])
+    h = "__h"
+    while h in docs.columns:
+        h += "_"
+    hashed = docs.withColumn(h, key())
+    good = judged(hashed, text, lang, source, keep=[doc_id, h]).where("kept").select(F.col(doc_id).alias("__id"), F.col(h).alias("__key")).distinct()
+    return hashed.join(good, hashed[doc_id].eqNullSafe(good["__id"]) & (hashed[h] == good["__key"]), "left_semi").drop(h)
