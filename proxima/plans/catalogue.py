@@ -1,4 +1,778 @@
-"""Named queries over the test tables, and the SQL that gives the same rows."""
+"""Named queries over the test tables, and the DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Floats are rounded to six decimals; every choice among equals goes to the smaller id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..functions.hashing import uniform_sql
+from ..operators import coreset as C
+from ..operators import density as D
+from ..operators import distributed as X
+from ..operators import generators as R
+from ..operators import graph as G
+from ..operators import metrics as M
+from ..operators import partition as P
+from ..operators import pca as A
+from ..operators import similarity as K
+from ..operators import tune as H
+from ..operators.state import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    """Six decimals, with no negative zero."""
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
+
+
+def emb(spark: SparkSession, d: str) -> DataFrame:
+    return V.points(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+# ---- SQL that several oracles share; all stand after WITH RECURSIVE
+E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def sim_sql(src: str = "e", measure: str = "list_cosine_similarity(a.v, b.v)") -> str:
+    return f"sim AS (SELECT a.id AS i, b.id AS j, {measure} AS s FROM {src} a, {src} b WHERE a.id <> b.id)"
+
+
+def knn_sql(k: int, sim: str = "sim", name: str = "knn", by: str = "i") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(s, 12) DESC, j) AS rk FROM {sim}) WHERE rk <= {k})"
+
+
+SNN = "snn AS (SELECT a.i AS i, b.i AS j, count(*) AS w FROM knn a JOIN knn b ON a.j = b.j AND a.i <> b.i GROUP BY 1, 2)"
+
+
+def clusters_sql(eps: int, minpts: int, op: str = ">=", snn: str = "snn", pts: str = "e", p: str = "") -> str:
+    return f"""
+{p}dens AS (SELECT {pts}.id, count(n.i) AS density FROM {pts} LEFT JOIN {snn} n ON n.i = {pts}.id AND n.w {op} {eps} GROUP BY 1),
+{p}core AS (SELECT id FROM {p}dens WHERE density {op} {minpts}),
+{p}links AS (SELECT i, j FROM {snn} WHERE w {op} {eps} AND i IN (SELECT id FROM {p}core) AND j IN (SELECT id FROM {p}core)),
+{p}reach(id, c) AS (SELECT id, id FROM {p}core UNION SELECT l.j, r.c FROM {p}reach r JOIN {p}links l ON l.i = r.id),
+{p}comp AS (SELECT id, min(c) AS cluster FROM {p}reach GROUP BY 1),
+{p}border AS (SELECT i AS id, cluster FROM (SELECT n.i, c.cluster, row_number() OVER (PARTITION BY n.i ORDER BY n.w DESC, n.j) AS r FROM {snn} n JOIN {p}comp c ON c.id = n.j WHERE n.w {op} {eps}) WHERE r = 1),
+{p}assign AS (SELECT {pts}.id, coalesce(c.cluster, b.cluster, -1) AS cluster, CASE WHEN c.id IS NOT NULL THEN 'core' WHEN b.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind FROM {pts} LEFT JOIN {p}comp c ON c.id = {pts}.id LEFT JOIN {p}border b ON b.id = {pts}.id)"""
+
+
+BASE = f"WITH RECURSIVE {E}, {sim_sql()}, {knn_sql(20)}, {SNN}"
+FLAG = f"{BASE}, {clusters_sql(5, 4)}"
+SQDIST = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+
+
+def snn20(spark: SparkSession, d: str) -> DataFrame:
+    return K.snn(K.knn(emb(spark, d), 20))
+
+
+# ---- K, N
+@query(f"WITH {E}, {sim_sql()}, {knn_sql(10)} SELECT i, j, round(s, 6) AS s, rk FROM knn")
+def cosine_topk(spark, d):
+    return rounded(K.knn(emb(spark, d), 10), "s")
+
+
+@query(f"WITH {E}, {sim_sql(measure=f'1 / (1 + sqrt({SQDIST}))')}, {knn_sql(10)} SELECT i, j, round(s, 6) AS s, rk FROM knn")
+def euclid_topk(spark, d):
+    return rounded(K.knn(emb(spark, d), 10, "euclidean"), "s")
+
+
+@query(f"WITH {E}, {sim_sql()} SELECT i, j, round(s, 6) AS s FROM sim WHERE s >= 0.3 AND i < j")
+def cosine_threshold_pairs(spark, d):
+    return rounded(K.threshold_pairs(emb(spark, d), 0.3), "s")
+
+
+@query(f"WITH {E}, {sim_sql(measure=SQDIST)} SELECT i, round(min(s), 6) AS nearest, round(sum(s), 4) AS total FROM sim GROUP BY i")
+def squared_distances(spark, d):
+    p = emb(spark, d)
+    s = K.block_join(p, p, "neg_sqdist")
+    return s.groupBy("i").agg(F.round(F.min(-F.col("s")), 6).alias("nearest"), F.round(F.sum(-F.col("s")), 4).alias("total"))
+
+
+@query(f"WITH {E}, {sim_sql(measure=f'sqrt({SQDIST})')}, m AS (SELECT min(s) lo, max(s) hi FROM sim), n AS (SELECT i, 1 - (s - lo) / (hi - lo) AS s FROM sim, m) SELECT i, round(avg(s), 6) AS mean, round(max(s), 6) AS top FROM n GROUP BY i")
+def sim_minmax(spark, d):
+    p = emb(spark, d)
+    dist = K.block_join(p, p, "neg_sqdist").select("i", "j", F.sqrt(-F.col("s")).alias("d"))
+    return K.similarity_minmax(cut(dist)).groupBy("i").agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.max("s"), 6).alias("top"))
+
+
+@query(f"{BASE} SELECT i, j, w FROM snn")
+def snn_edges(spark, d):
+    return snn20(spark, d)
+
+
+@query(f"{BASE} SELECT i, j, w FROM snn WHERE i = 7 AND j = 11")
+def snn_lookup(spark, d):
+    return K.snn_lookup(snn20(spark, d), 7, 11)
+
+
+@query(f"{BASE} SELECT 20 - w AS d, count(*) AS n FROM snn GROUP BY 1")
+def snn_distances(spark, d):
+    return K.snn_distance(snn20(spark, d), 20).groupBy("d").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {E}, {sim_sql()} SELECT i, j, round(exp(-s * s), 6) AS closeness FROM sim WHERE i < j AND s >= 0.3")
+def closeness_weights(spark, d):
+    return K.threshold_pairs(emb(spark, d), 0.3).select("i", "j", F.round(V.closeness("s"), 6).alias("closeness"))
+
+
+@query(f"{BASE}, h AS (SELECT w, count(*) AS n FROM snn GROUP BY 1) SELECT w, n, round(sum(n) OVER (ORDER BY w) / (SELECT sum(n) FROM h), 6) AS ecdf FROM h")
+def snn_histogram(spark, d):
+    return rounded(M.histogram(snn20(spark, d)), "ecdf")
+
+
+# ---- D
+@query(f"{FLAG} SELECT id, density FROM dens")
+def snn_density(spark, d):
+    return D.density(emb(spark, d), snn20(spark, d), 5)
+
+
+@query(f"{FLAG} SELECT id FROM core")
+def snn_core_points(spark, d):
+    return D.core_points(snn_density(spark, d), 4)
+
+
+@query(f"{BASE}, {clusters_sql(3, 4, '>')} SELECT id FROM core")
+def snn_core_points_strict(spark, d):
+    p = emb(spark, d)
+    return D.core_points(D.density(p, snn20(spark, d), 3, strict=True), 4, strict=True)
+
+
+@query(f"{BASE} SELECT i, j, w FROM snn WHERE w >= 8")
+def epsilon_neighbours(spark, d):
+    return D.neighbours(snn20(spark, d), 8)
+
+
+@query(f"{FLAG} SELECT id, cluster, kind FROM assign")
+def snn_clusters(spark, d):
+    p = emb(spark, d)
+    return D.cluster_points(p, 20, 5, 4)
+
+
+@query(f"{FLAG} SELECT cluster, count(*) AS n FROM assign WHERE kind <> 'noise' GROUP BY 1")
+def snn_cluster_sizes(spark, d):
+    return snn_clusters(spark, d).where("kind <> 'noise'").groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"{FLAG} SELECT kind, count(*) AS points, count(DISTINCT nullif(cluster, -1)) AS clusters FROM assign GROUP BY 1")
+def snn_kind_counts(spark, d):
+    return M.kind_counts(snn_clusters(spark, d))
+
+
+@query(f"{FLAG} SELECT id FROM assign WHERE kind = 'noise'")
+def snn_noise(spark, d):
+    p = emb(spark, d)
+    return p.select("id").join(snn_clusters(spark, d).where("kind <> 'noise'"), "id", "left_anti")
+
+
+@query()
+def snn_one_hop(spark, d):
+    p = emb(spark, d)
+    return D.snn_clusters(p, cut(snn20(spark, d)), 5, 4, labelling="one_hop")
+
+
+PART = "e AS (SELECT p_partkey AS id, p_size / 50.0 AS x, p_retailprice / 2000.0 AS y FROM part)"
+
+
+@query(f"""WITH RECURSIVE {PART}, pr AS (SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.004 * 0.004),
+core AS (SELECT e.id FROM e LEFT JOIN pr ON pr.i = e.id GROUP BY 1 HAVING count(pr.j) + 1 >= 4),
+links AS (SELECT * FROM pr WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)),
+reach(id, c) AS (SELECT id, id FROM core UNION SELECT l.j, r.c FROM reach r JOIN links l ON l.i = r.id),
+comp AS (SELECT id, min(c) AS cluster FROM reach GROUP BY 1),
+border AS (SELECT pr.i AS id, min(c.cluster) AS cluster FROM pr JOIN comp c ON c.id = pr.j GROUP BY 1)
+SELECT e.id, coalesce(c.cluster, b.cluster, -1) AS cluster, CASE WHEN c.id IS NOT NULL THEN 'core' WHEN b.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind FROM e LEFT JOIN comp c ON c.id = e.id LEFT JOIN border b ON b.id = e.id""")
+def dbscan_parts(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("x"), (F.col("p_retailprice") / 2000.0).alias("y"))
+    return D.dbscan(p, 0.004, 4, ["x", "y"])
+
+
+# ---- H
+GRID = "grid AS (SELECT * FROM (VALUES (10), (20)) k(k), (VALUES (3), (5)) x(eps), (VALUES (2), (4)) m(minpts))"
+
+
+@query(f"""WITH {E}, {sim_sql()}, {knn_sql(20)}, {GRID},
+s AS (SELECT q.k, a.i, b.i AS j, count(*) AS w FROM (VALUES (10), (20)) q(k) JOIN knn a ON a.rk <= q.k JOIN knn b ON b.rk <= q.k AND a.j = b.j AND a.i <> b.i GROUP BY ALL),
+d AS (SELECT k, eps, i, count(*) AS d FROM s, (VALUES (3), (5)) x(eps) WHERE w >= eps GROUP BY ALL)
+SELECT g.k, g.eps, g.minpts, count(d.i) AS cores FROM grid g LEFT JOIN d ON d.k = g.k AND d.eps = g.eps AND d.d >= g.minpts GROUP BY ALL""")
+def snn_grid_counts(spark, d):
+    return H.grid_counts(emb(spark, d), [10, 20], [3, 5], [2, 4])
+
+
+SIL = """, lab AS (SELECT id, cluster FROM assign WHERE kind <> 'noise'),
+pd AS (SELECT a.id AS i, a.cluster AS ci, b.id AS j, b.cluster AS cj, 20.0 - coalesce(s.w, 0) AS d FROM lab a JOIN lab b ON a.id <> b.id LEFT JOIN snn s ON s.i = a.id AND s.j = b.id)"""
+
+
+@query(f"""{FLAG}{SIL}, m AS (SELECT i, ci, cj, avg(d) AS d FROM pd GROUP BY ALL),
+p AS (SELECT lab.id, (SELECT d FROM m WHERE m.i = lab.id AND cj = lab.cluster) AS a, (SELECT min(d) FROM m WHERE m.i = lab.id AND cj <> lab.cluster) AS b FROM lab)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM p""")
+def snn_silhouette(spark, d):
+    s = cut(snn20(spark, d))
+    lab = cut(D.snn_clusters(emb(spark, d), s, 5, 4).where("kind <> 'noise'").select("id", "cluster"))
+    return rounded(M.silhouette(lab, M.snn_distance_or(s, lab, 20), 20.0), "silhouette")
+
+
+@query(f"""{FLAG}{SIL}, size AS (SELECT cluster AS ci, count(*) AS n FROM lab GROUP BY 1),
+c AS (SELECT size.ci, n, coalesce((SELECT avg(d) FROM pd WHERE pd.ci = size.ci AND pd.cj = size.ci), 0) AS comp FROM size),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM pd WHERE d < 20) WHERE rk <= 10),
+f AS (SELECT ci, sum(CASE WHEN ci <> cj THEN 1 ELSE 0 END) / 10.0 AS f FROM nn GROUP BY 1)
+SELECT round(sum(comp), 6) AS compactness, round(max(coalesce(f, 0) / n), 6) AS separation, round(sum(comp) + max(coalesce(f, 0) / n), 6) AS cvnn FROM c LEFT JOIN f ON f.ci = c.ci""")
+def snn_cvnn(spark, d):
+    s = cut(snn20(spark, d))
+    lab = cut(D.snn_clusters(emb(spark, d), s, 5, 4).where("kind <> 'noise'").select("id", "cluster"))
+    return rounded(M.cvnn(lab, M.snn_distance_or(s, lab, 20), 20.0), "compactness", "separation", "cvnn")
+
+
+@query()
+def snn_best_params(spark, d):
+    truth = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
+    grid = H.grid_scores(emb(spark, d), [20], [4, 5], [4], truth=truth, least_assigned=0.2)
+    return rounded(H.best(grid), "silhouette", "cvnn", "vm", "ari")
+
+
+# ---- T, K3
+DOCS = "docs AS (SELECT doc_id AS id, text FROM documents WHERE lang = 'en' AND n_chars < 900)"
+TOK = f"{DOCS}, tok AS (SELECT id, term FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM docs) WHERE term <> '' AND term NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}))"
+TF = f"{TOK}, f AS (SELECT id, term, count(*) AS f FROM tok GROUP BY ALL), tf AS (SELECT f.id, f.term, f.f / t.top * ln((SELECT count(DISTINCT term) FROM f) / df.df) AS w FROM f JOIN (SELECT id, max(f) AS top FROM f GROUP BY 1) t ON t.id = f.id JOIN (SELECT term, count(*) AS df FROM f GROUP BY 1) df ON df.term = f.term)"
+NORM = f"{TF}, nf AS (SELECT tf.id, term, w / n AS w FROM tf JOIN (SELECT id, sqrt(sum(w * w)) AS n FROM tf GROUP BY 1 HAVING sqrt(sum(w * w)) > 0) n ON n.id = tf.id)"
+IDX = f"{NORM}, half AS (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS s FROM nf a JOIN nf b ON a.term = b.term AND a.id < b.id GROUP BY ALL), sim AS (SELECT i, j, s FROM half UNION ALL SELECT j, i, s FROM half)"
+
+
+def doc_tokens(spark, d):
+    docs = table(spark, d, "documents").where("lang = 'en' and n_chars < 900")  # the survey's collection for sparse vectors
+    return T.without_stop_words(T.tokens(docs))
+
+
+def doc_features(spark, d):
+    return cut(T.normalised(T.tf_log_weights(cut(doc_tokens(spark, d)))))
+
+
+@query(f"WITH {TOK} SELECT id, count(*) AS n, count(DISTINCT term) AS terms FROM tok GROUP BY 1")
+def doc_tokens_counts(spark, d):
+    return doc_tokens(spark, d).groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"))
+
+
+@query(f"WITH {TOK}, v AS (SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY 1) SELECT term, df, row_number() OVER (ORDER BY term COLLATE C) AS term_id FROM v")
+def vocabulary(spark, d):
+    return T.vocabulary(doc_tokens(spark, d))
+
+
+@query(f"WITH {TF} SELECT id, term, round(w, 6) AS w FROM tf")
+def tfidf_weights(spark, d):
+    return rounded(T.tf_log_weights(doc_tokens(spark, d)), "w")
+
+
+@query(f"WITH {IDX} SELECT i, j, round(s, 6) AS s FROM sim WHERE s >= 0.05")
+def doc_index_join(spark, d):
+    return rounded(K.index_join(doc_features(spark, d)).where("s >= 0.05"), "s")
+
+
+@query(f"WITH {IDX} SELECT i, j, round(s, 6) AS s FROM half WHERE s >= 0.05 UNION ALL SELECT DISTINCT id, id, 1.0 FROM nf")
+def doc_index_join_upper(spark, d):
+    f = doc_features(spark, d)
+    return rounded(K.index_join(f, symmetric=False, diagonal=True).where("s >= 0.05"), "s")
+
+
+@query(f"WITH {IDX}, {knn_sql(5)} SELECT i, j, round(s, 6) AS s, rk FROM knn")
+def doc_knn(spark, d):
+    return rounded(K.top_k(K.index_join(doc_features(spark, d)), 5), "s")
+
+
+@query(f"WITH RECURSIVE {IDX}, {knn_sql(10)}, {SNN}, e AS (SELECT DISTINCT id FROM nf), {clusters_sql(4, 3)} SELECT id, cluster, kind FROM assign")
+def doc_snn_clusters(spark, d):
+    f = doc_features(spark, d)
+    s = cut(K.snn(K.top_k(K.index_join(f), 10)))
+    return D.snn_clusters(f.select("id").distinct(), s, 4, 3)
+
+
+# ---- M
+PAIRS = "pairs AS (SELECT o_orderpriority AS pred, o_orderstatus AS truth FROM orders)"
+CONT = f"{PAIRS}, c AS (SELECT pred, truth, count(*) AS n FROM pairs GROUP BY ALL), p AS (SELECT pred, sum(n) AS np FROM c GROUP BY 1), t AS (SELECT truth, sum(n) AS nt FROM c GROUP BY 1), a AS (SELECT sum(n)::DOUBLE AS al FROM c)"
+INFO = f"{CONT}, i AS (SELECT (SELECT sum(n / al * ln(n * al / (np * nt))) FROM c JOIN p USING (pred) JOIN t USING (truth), a) AS mi, (SELECT -sum(np / al * ln(np / al)) FROM p, a) AS hp, (SELECT -sum(nt / al * ln(nt / al)) FROM t, a) AS ht)"
+EMI = f"""{INFO}, lf AS (SELECT 0 AS k, 0.0::DOUBLE AS lf UNION ALL SELECT k, sum(ln(k)) OVER (ORDER BY k) FROM range(1, (SELECT al::BIGINT + 1 FROM a)) r(k)),
+cells AS (SELECT np::BIGINT AS x, nt::BIGINT AS y, unnest(range(greatest(1, (np + nt - al)::BIGINT), least(np, nt)::BIGINT + 1)) AS n, al::BIGINT AS al FROM p, t, a),
+emi AS (SELECT sum(n / al * ln(al::DOUBLE * n / (x::DOUBLE * y)) * exp(a1.lf + a2.lf + a3.lf + a4.lf - a5.lf - a6.lf - a7.lf - a8.lf - a9.lf)) AS emi FROM cells
+ JOIN lf a1 ON a1.k = x JOIN lf a2 ON a2.k = y JOIN lf a3 ON a3.k = al - x JOIN lf a4 ON a4.k = al - y JOIN lf a5 ON a5.k = al JOIN lf a6 ON a6.k = n JOIN lf a7 ON a7.k = x - n JOIN lf a8 ON a8.k = y - n JOIN lf a9 ON a9.k = al - x - y + n)"""
+PURITY = "pe AS (SELECT (SELECT sum(m) FROM (SELECT max(n) AS m FROM c GROUP BY pred)) / (SELECT al FROM a) AS purity, (SELECT sum(-n / np * ln(n / np + 1e-10) * np / al) FROM c JOIN p USING (pred), a) / ln((SELECT count(*) FROM t)) AS entropy)"
+ARI = "r AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM c) AS ij, (SELECT sum(np * (np - 1) / 2.0) FROM p) AS x, (SELECT sum(nt * (nt - 1) / 2.0) FROM t) AS y, (SELECT al * (al - 1) / 2.0 FROM a) AS al2)"
+ARI_VALUE = "(ij - x * y / al2) / ((x + y) / 2 - x * y / al2)"
+
+
+def order_pairs(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("pred"), F.col("o_orderstatus").alias("truth"))
+
+
+@query(f"WITH {CONT} SELECT pred, truth, n FROM c")
+def contingency(spark, d):
+    return M.contingency(order_pairs(spark, d))
+
+
+@query(f"WITH {CONT}, {PURITY} SELECT round(purity, 6) AS purity, round(entropy, 6) AS entropy FROM pe")
+def purity_entropy(spark, d):
+    return rounded(M.purity_entropy(order_pairs(spark, d)), "purity", "entropy")
+
+
+@query(f"WITH {CONT}, {ARI} SELECT round({ARI_VALUE}, 6) AS ari FROM r")
+def ari(spark, d):
+    return rounded(M.adjusted_rand(order_pairs(spark, d)), "ari")
+
+
+@query(f"WITH {INFO} SELECT round(mi / ht, 6) AS homogeneity, round(mi / hp, 6) AS completeness, round(2 * (mi / ht) * (mi / hp) / (mi / ht + mi / hp), 6) AS v_measure FROM i")
+def homogeneity_completeness_v(spark, d):
+    return rounded(M.homogeneity_completeness_v(order_pairs(spark, d)), "homogeneity", "completeness", "v_measure")
+
+
+@query(f"WITH {INFO} SELECT round(mi / ((hp + ht) / 2), 6) AS nmi_arithmetic, round(mi / sqrt(hp * ht), 6) AS nmi_geometric FROM i")
+def nmi(spark, d):
+    return rounded(M.nmi(order_pairs(spark, d)), "nmi_arithmetic", "nmi_geometric")
+
+
+@query(f"WITH {EMI} SELECT round((mi - emi) / ((hp + ht) / 2 - emi), 6) AS ami FROM i, emi")
+def ami(spark, d):
+    return rounded(M.ami(cut(order_pairs(spark, d))), "ami")
+
+
+@query(f"WITH {EMI}, {PURITY}, {ARI} SELECT round(entropy, 6) AS E, round(purity, 6) AS P, round({ARI_VALUE}, 6) AS ARI, round((mi - emi) / ((hp + ht) / 2 - emi), 6) AS AMI, round(mi / sqrt(hp * ht), 6) AS NMI, round(mi / ht, 6) AS H, round(mi / hp, 6) AS C, round(2 * (mi / ht) * (mi / hp) / (mi / ht + mi / hp), 6) AS VM FROM i, emi, pe, r")
+def clustering_scores(spark, d):
+    return rounded(M.scores(cut(order_pairs(spark, d))), "E", "P", "ARI", "AMI", "NMI", "H", "C", "VM")
+
+
+@query("SELECT o_orderpriority AS pred, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
+def confusion_pivot(spark, d):
+    return M.confusion(order_pairs(spark, d), ["F", "O", "P"])
+
+
+@query(f"WITH {CONT}, {PURITY}, s AS (SELECT -sum(np / al * log2(np / al)) AS e FROM p, a) SELECT round(2 * purity * (2 - e) / (purity + 2 - e), 6) AS score FROM pe, s")
+def size_score(spark, d):
+    return rounded(M.size_score(order_pairs(spark, d)), "score")
+
+
+@query(f"{FLAG}, x AS (SELECT l.label AS truth, a.cluster AS pred FROM assign a JOIN embeddings l ON l.vec_id = a.id WHERE a.kind <> 'noise') SELECT pred, truth, count(*) AS n FROM x GROUP BY ALL")
+def cluster_contingency(spark, d):
+    truth = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
+    return M.contingency(M.without_noise(snn_clusters(spark, d).join(truth, "id").select(F.col("cluster").alias("pred"), "truth")))
+
+
+@query("SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY f) AS code FROM (SELECT o_orderkey, o_orderpriority, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS f FROM orders)")
+def label_codes(spark, d):
+    return M.encode_labels(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM events GROUP BY 1")
+def elapsed_quartiles(spark, d):
+    return rounded(M.quartiles(table(spark, d, "events"), ["event_type"], "value"), "q1", "median", "q3")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1")
+def run_mean_std(spark, d):
+    return rounded(M.mean_std(table(spark, d, "events"), ["event_type"], "value"), "mean", "std")
+
+
+@query(f"""WITH {E}, {sim_sql()}, {knn_sql(20)}, {SNN}, d AS (SELECT eps, i, count(*) AS d FROM snn, (VALUES (3), (5), (7)) x(eps) WHERE w >= eps GROUP BY ALL)
+SELECT x.eps, count(i) FILTER (d >= 2) AS "2", count(i) FILTER (d >= 4) AS "4" FROM (VALUES (3), (5), (7)) x(eps) LEFT JOIN d ON d.eps = x.eps GROUP BY 1""")
+def metric_pivot(spark, d):
+    return R.metric_pivot(H.grid_counts(emb(spark, d), [20], [3, 5, 7], [2, 4]), "cores", [2, 4])
+
+
+# ---- P, X1-X3
+CUST = "c AS (SELECT c_custkey AS id, c_acctbal AS bal, c_nationkey AS nation FROM customer)"
+
+
+def customers(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("nation"))
+
+
+@query(f"WITH {CUST} SELECT id, ((row_number() OVER (ORDER BY {uniform_sql('id', '1')}, id) - 1) % 4 + 1)::INT AS node FROM c")
+def partition_balanced(spark, d):
+    return P.partition("balanced", customers(spark, d).select("id"), 4)
+
+
+@query(f"WITH {CUST} SELECT id, (floor({uniform_sql('id', '1')} * 5) + 1)::INT AS node FROM c")
+def partition_uniform(spark, d):
+    return P.partition("uniform", customers(spark, d).select("id"), 5)
+
+
+@query(f"WITH {CUST}, u AS (SELECT id, {uniform_sql('id', '1')} AS u FROM c) SELECT id, CASE WHEN u < 20.0 / 42 THEN 1 WHEN u < 20.0 / 42 + 20.0 / 42 THEN 2 WHEN u < 20.0 / 42 + 20.0 / 42 + 1.0 / 42 THEN 3 ELSE 4 END AS node FROM u")
+def partition_unbalanced(spark, d):
+    return P.partition("unbalanced", customers(spark, d).select("id"), 4)
+
+
+@query(f"WITH {CUST}, u AS (SELECT id, {uniform_sql('id', '3')} AS u FROM c) SELECT id, CASE WHEN u < 0.5 THEN 1 WHEN u < 0.75 THEN 2 ELSE 3 END AS node FROM u")
+def partition_weighted(spark, d):
+    return P.partition("weighted", customers(spark, d).select("id"), 3, weights=[2.0, -1.0, 1.0], seed=3)
+
+
+@query(f"WITH {CUST}, u AS (SELECT id, {uniform_sql('id', '1')} AS u FROM c) SELECT id, CASE WHEN u < 2.0 / 8 THEN 1 WHEN u < 2.0 / 8 + 2.0 / 8 THEN 2 WHEN u < 2.0 / 8 + 2.0 / 8 + 2.0 / 8 THEN 3 ELSE 4 END AS node FROM u")
+def partition_degree(spark, d):
+    return P.partition("degree", customers(spark, d).select("id"), 4, edges=G.grid_graph(spark, 2))
+
+
+@query(f"""WITH {CUST}, m AS (SELECT min(bal) AS lo, (max(bal) - min(bal)) / 80 AS width, count(*) AS n FROM c), b AS (SELECT least(floor((bal - lo) / width), 79)::INT AS b, count(*) AS k FROM c, m GROUP BY 1),
+r AS (SELECT b, k, sum(k) OVER (ORDER BY b) - k AS before FROM b), cuts AS (SELECT t, min(lo + width * (b + (t * n / 4.0 - before) / k)) AS cut FROM r, m, (VALUES (1), (2), (3)) x(t) WHERE before + k >= t * n / 4.0 AND before < t * n / 4.0 GROUP BY t)
+SELECT id, (1 + (SELECT count(*) FROM cuts WHERE cut < bal))::INT AS node FROM c""")
+def partition_range(spark, d):
+    return P.partition("range", customers(spark, d), 4, column="bal").select("id", "node")
+
+
+PIV = f"pv AS (SELECT v AS pv, row_number() OVER (ORDER BY id) AS node FROM (SELECT * FROM e ORDER BY {uniform_sql('id', '1', chr(39) + 'pivot' + chr(39))}, id LIMIT 4))"
+
+
+@query(f"""WITH {E}, {PIV}, dd AS (SELECT e.id, node, list_sum(list_transform(list_zip(v, pv), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2 FROM e, pv), p AS (SELECT id, node, exp(-d2 / avg(d2) OVER (PARTITION BY id)) AS p FROM dd),
+s AS (SELECT id, node, sum(p) OVER (PARTITION BY id ORDER BY node) AS upto, {uniform_sql('id', '1')} * sum(p) OVER (PARTITION BY id) AS target FROM p) SELECT id, least(count(*) FILTER (upto <= target) + 1, 4)::INT AS node FROM s GROUP BY id""")
+def partition_similarity(spark, d):
+    return P.partition("similarity", emb(spark, d), 4).select("id", "node")
+
+
+@query(f"WITH x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {uniform_sql('doc_id', '1')}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, source FROM x WHERE r <= ceil(0.1 * n)")
+def stratified_sample(spark, d):
+    return X.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), ["source"], 0.1, id_col="doc_id")
+
+
+@query(f"""WITH x AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY {uniform_sql('doc_id', '1')}, doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS nc, count(*) OVER (PARTITION BY lang) AS nn FROM documents)
+SELECT doc_id, lang, source, round((1 - nc / nn) / 2 / nc, 6) AS weight FROM x WHERE r <= ceil(0.2 * nc)""")
+def inverse_size_weighted_sample(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return rounded(X.inverse_size_sample(docs, "lang", "source", 0.2, id_col="doc_id"), "weight")
+
+
+@query(f"WITH {CUST} SELECT id FROM c WHERE bal > 0 ORDER BY -ln(1 - {uniform_sql('id', '1')}) / bal, id LIMIT 25")
+def weighted_sample(spark, d):
+    return X.weighted_sample(customers(spark, d), 25, "bal").select("id")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN (SELECT sum(abs(c_acctbal)) FROM customer) > 0 THEN abs(c_acctbal) ELSE 1 END AS w FROM customer")
+def repaired_weights(spark, d):
+    return C.repaired_weights(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("w")))
+
+
+# ---- X
+NODES = f"n AS (SELECT id, v, (floor({uniform_sql('id', '1')} * 4) + 1)::INT AS node FROM e), simn AS (SELECT a.node, a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS s FROM n a JOIN n b ON a.node = b.node AND a.id <> b.id), {knn_sql(10, 'simn', 'knnn')}, snnn AS (SELECT a.i AS i, b.i AS j, count(*) AS w FROM knnn a JOIN knnn b ON a.j = b.j AND a.i <> b.i GROUP BY 1, 2)"
+LOCAL = f"WITH RECURSIVE {E}, {NODES}, {clusters_sql(3, 3, snn='snnn', pts='n', p='l')}, loc AS (SELECT n.id, n.node, a.cluster, a.kind FROM n JOIN lassign a ON a.id = n.id)"
+GATHERED = f"{LOCAL}, br AS (SELECT *, row_number() OVER (PARTITION BY node, cluster ORDER BY {uniform_sql('id', '1')}, id) AS r, count(*) OVER (PARTITION BY node, cluster) AS k FROM loc WHERE kind = 'border'), g AS (SELECT id, node, cluster, kind FROM loc WHERE kind = 'core' UNION ALL SELECT id, node, cluster, kind FROM br WHERE r <= ceil(0.3 * k))"
+CENTRAL = f"{GATHERED}, sg AS (SELECT e.* FROM e JOIN g ON g.id = e.id), csim AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS s FROM sg a, sg b WHERE a.id <> b.id), {knn_sql(12, 'csim', 'cknn')}, csnn AS (SELECT a.i AS i, b.i AS j, count(*) AS w FROM cknn a JOIN cknn b ON a.j = b.j AND a.i <> b.i GROUP BY 1, 2), cl AS (SELECT i, j FROM csnn WHERE w > 3)"
+REACH = f"{CENTRAL}, creach(id, c) AS (SELECT id, id FROM g UNION SELECT l.j, r.c FROM creach r JOIN cl l ON l.i = r.id), cc AS (SELECT id, min(c) AS cluster FROM creach GROUP BY 1)"
+VOTES = "o AS (SELECT * FROM e WHERE id NOT IN (SELECT id FROM cc)), vs AS (SELECT o.id AS i, c.id AS j, c.cluster, row_number() OVER (PARTITION BY o.id ORDER BY round(list_cosine_similarity(o.v, sg.v), 12) DESC, c.id) AS rk FROM o, cc c JOIN sg ON sg.id = c.id), vt AS (SELECT i, cluster, count(*) AS n, min(rk) AS f FROM vs WHERE rk <= 3 GROUP BY ALL), vw AS (SELECT i AS id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, f) AS r FROM vt) WHERE r = 1)"
+
+
+def node_points(spark, d):
+    return P.uniform_nodes(emb(spark, d), 4)
+
+
+@query(f"{LOCAL} SELECT id, node, cluster, kind FROM loc")
+def local_snn(spark, d):
+    return X.local_clusters(node_points(spark, d), 10, 3, 3)
+
+
+@query(f"{GATHERED} SELECT id, node, cluster, kind FROM g")
+def gathered_sample(spark, d):
+    return X.gathered(cut(local_snn(spark, d)), 0.3)
+
+
+@query(f"{CENTRAL} SELECT i, j FROM cl")
+def central_graph(spark, d):
+    return X.central_graph(emb(spark, d), cut(gathered_sample(spark, d)), 12, 3).select("i", "j")
+
+
+@query(f"{REACH} SELECT id, cluster FROM cc")
+def snn_graph_components(spark, d):
+    g = cut(gathered_sample(spark, d))
+    return X.central_labels(g, X.central_graph(emb(spark, d), g, 12, 3), None)
+
+
+def _propagated(rounds: int) -> str:
+    out, before = f"{CENTRAL}, p0 AS (SELECT id, id AS cluster FROM g)", "p0"
+    for r in range(1, rounds + 1):
+        out += f", v{r} AS (SELECT l.i AS id, p.cluster, count(*) AS n FROM cl l JOIN {before} p ON p.id = l.j GROUP BY ALL), p{r} AS (SELECT p.id, coalesce(w.cluster, p.cluster) AS cluster FROM {before} p LEFT JOIN (SELECT id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, cluster) AS r FROM v{r}) WHERE r = 1) w ON w.id = p.id)"
+        before = f"p{r}"
+    return out
+
+
+@query(f"{_propagated(5)} SELECT id, cluster FROM p5")
+def snn_label_prop(spark, d):
+    g = cut(gathered_sample(spark, d))
+    return X.central_labels(g, X.central_graph(emb(spark, d), g, 12, 3), 5)
+
+
+@query(f"{REACH}, {VOTES} SELECT id, cluster FROM cc UNION ALL SELECT id, cluster FROM vw")
+def two_phase_snn(spark, d):
+    return X.two_phase(node_points(spark, d), 10, 3, 3, 0.3, central_k=12, cut_point=3, voters=3, rounds=None)
+
+
+@query(f"{FLAG}, cc AS (SELECT id, cluster FROM comp), sg AS (SELECT * FROM e), {VOTES} SELECT id, cluster FROM cc UNION ALL SELECT id, cluster FROM vw")
+def core_vote_labels(spark, d):
+    p = emb(spark, d)
+    cores = cut(snn_clusters(spark, d).where("kind = 'core'").select("id", "cluster"))
+    return X.core_votes(p, cores, 3)
+
+
+@query()
+def core_path_labels(spark, d):
+    s = cut(snn20(spark, d))
+    cores = D.snn_clusters(emb(spark, d), s, 5, 4).where("kind = 'core'").select("id", "cluster")
+    return X.path_votes(s, cut(cores), 20)
+
+
+@query()
+def two_phase_sample_clusters(spark, d):
+    return X.two_phase_snn(node_points(spark, d), 10, 3, 3, 0.5)
+
+
+# ---- G
+HOPS = [(1, 2), (1, 9), (9, 3), (9, 7), (3, 4), (3, 5), (3, 6), (7, 6), (7, 8), (5, 8)]
+PATHS = [(1, 2, 8), (1, 3, 2), (1, 4, 5), (2, 4, 2), (2, 6, 13), (3, 4, 2), (3, 5, 5), (4, 5, 1), (4, 6, 6), (4, 7, 3), (5, 7, 1), (6, 7, 2), (6, 8, 3), (7, 8, 6)]
+
+
+def _edges(spark, rows):
+    return G.undirected(spark.createDataFrame([(a, b, float(w)) for a, b, w in rows], "src long, dst long, w double"))
+
+
+def _values(rows) -> str:
+    return f"h(src, dst, w) AS (VALUES {', '.join(f'({a}, {b}, {float(w)})' for a, b, w in rows)}), ed AS (SELECT src, dst, w FROM h UNION ALL SELECT dst, src, w FROM h)"
+
+
+@query(f"WITH RECURSIVE {_values([(a, b, 1) for a, b in HOPS])}, r(id, hops) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT ed.dst::BIGINT, r.hops + 1 FROM r JOIN ed ON ed.src = r.id WHERE r.hops < 9) SELECT id, min(hops) AS hops FROM r GROUP BY 1")
+def graph_bfs(spark, d):
+    return G.bfs(_edges(spark, [(a, b, 1) for a, b in HOPS]), 1).select("id", "hops")
+
+
+@query(f"WITH RECURSIVE {_values(PATHS)}, r(id, dist, n) AS (SELECT 1::BIGINT, 0.0::DOUBLE, 0 UNION SELECT ed.dst::BIGINT, r.dist + ed.w, r.n + 1 FROM r JOIN ed ON ed.src = r.id WHERE r.n < 7) SELECT id, min(dist) AS dist FROM r GROUP BY 1")
+def graph_sssp(spark, d):
+    return G.shortest_paths(_edges(spark, PATHS), 1).select("id", "dist")
+
+
+NATIONS = "h AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey + 100 AS b FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_quantity >= 49), ed AS (SELECT a AS src, b AS dst FROM h UNION ALL SELECT b, a FROM h)"
+
+
+def trade(spark, d):
+    o, c, l, s = (table(spark, d, n) for n in ("orders", "customer", "lineitem", "supplier"))
+    big = l.where("l_quantity >= 49").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return G.undirected(big.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("s_nationkey") + 100).cast("long").alias("dst"), F.lit(1.0).alias("w")).distinct())
+
+
+@query(f"WITH {NATIONS} SELECT src::BIGINT AS src, count(*) AS degree FROM ed GROUP BY 1")
+def graph_degree(spark, d):
+    return G.degree(trade(spark, d))
+
+
+@query(f"WITH {NATIONS} SELECT src::BIGINT AS src, dst::BIGINT AS dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS position FROM ed")
+def graph_adjacency(spark, d):
+    return G.adjacency(trade(spark, d)).select("src", "dst", "position")
+
+
+@query(f"WITH RECURSIVE {NATIONS}, r(id, c) AS (SELECT DISTINCT src, src FROM ed UNION SELECT ed.dst, r.c FROM r JOIN ed ON ed.src = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY 1) SELECT count(DISTINCT c) AS components, count(DISTINCT c) = 1 AS connected FROM m")
+def graph_connected(spark, d):
+    e = trade(spark, d)
+    return G.connected(e.select(F.col("src").alias("id")).distinct(), e.select(F.col("src").alias("i"), F.col("dst").alias("j")))
+
+
+@query("SELECT * FROM (VALUES (1, 2), (1, 9), (9, 3), (9, 7), (3, 4), (3, 5), (3, 6), (7, 8)) t(parent, child)")
+def spanning_tree(spark, d):
+    return G.spanning_tree(_edges(spark, [(a, b, 1) for a, b in HOPS]), 1)
+
+
+@query("SELECT a.k AS src, b.k AS dst FROM range(1, 26) a(k), range(1, 26) b(k) WHERE abs((a.k - 1) % 5 - (b.k - 1) % 5) + abs((a.k - 1) // 5 - (b.k - 1) // 5) = 1")
+def graph_grid(spark, d):
+    return G.grid_graph(spark, 5).select("src", "dst")
+
+
+@query(f"WITH p AS (SELECT a.k AS src, b.k AS dst FROM range(1, 13) a(k) JOIN range(1, 13) b(k) ON a.k < b.k WHERE {uniform_sql('a.k', 'b.k', '1')} < 0.5) SELECT src, dst FROM p UNION ALL SELECT dst, src FROM p")
+def graph_random(spark, d):
+    return G.random_graph(spark, 12, 0.5).select("src", "dst")
+
+
+@query()
+def graph_preferential(spark, d):
+    return G.preferential_graph(spark, 12, 3, 2).select("src", "dst")
+
+
+@query("SELECT 16.0 * 100 * 64 + 50 AS cost")
+def communication_cost(spark, d):
+    return G.communication_cost(G.grid_graph(spark, 3).limit(16), 100, 64, 50.0)
+
+
+# ---- C
+CENT = "ct AS (SELECT row_number() OVER (ORDER BY id)::INT AS centre, v AS c FROM (SELECT * FROM e ORDER BY id LIMIT 5))"
+DIST = "list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+
+
+def near_sql(name: str, centres: str) -> str:
+    return f"{name} AS (SELECT id, v, centre, cost FROM (SELECT id, v, centre, {DIST} AS cost, row_number() OVER (PARTITION BY id ORDER BY {DIST}, centre) AS r FROM e, {centres}) WHERE r = 1)"
+
+
+def lloyd_sql(rounds: int) -> str:
+    out, now = f"{E}, {CENT}", "ct"
+    for r in range(1, rounds + 1):
+        out += f", {near_sql(f'n{r}', now)}, x{r} AS (SELECT centre, g.k AS dim, avg(v[g.k]) AS m FROM n{r}, range(1, 65) g(k) GROUP BY ALL), m{r} AS (SELECT centre, list(m ORDER BY dim) AS m FROM x{r} GROUP BY 1), c{r} AS (SELECT ct.centre, coalesce(m, ct.c) AS c FROM ct LEFT JOIN m{r} ON m{r}.centre = ct.centre)"
+        now = f"c{r}"
+    return out
+
+
+def first_centres(spark, d):
+    from pyspark.sql import Window
+
+    first = emb(spark, d).orderBy("id").limit(5)
+    return cut(first.select(F.row_number().over(Window.orderBy("id")).alias("centre"), F.col("v").alias("c")))
+
+
+@query(f"WITH {E}, {CENT}, {near_sql('n', 'ct')} SELECT id, centre, round(cost, 6) AS cost FROM n")
+def kmeans_assign(spark, d):
+    return rounded(C.nearest_centre(emb(spark, d), first_centres(spark, d)).select("id", "centre", "cost"), "cost")
+
+
+@query(f"WITH {E}, {CENT}, {near_sql('n', 'ct')} SELECT round(sum(cost), 6) AS cost FROM n")
+def kmeans_cost(spark, d):
+    return rounded(C.kmeans_cost(emb(spark, d), first_centres(spark, d)), "cost")
+
+
+@query(f"WITH {lloyd_sql(3)} SELECT centre, g.k::INT AS dim, round(c[g.k], 6) + 0.0 AS x FROM c3, range(1, 65) g(k)")
+def lloyd_fixed_iters(spark, d):
+    out = C.lloyd(emb(spark, d), first_centres(spark, d), 3).select("centre", F.posexplode("c").alias("dim", "x"))
+    return rounded(out.withColumn("dim", F.col("dim") + 1), "x")
+
+
+@query("SELECT l_returnflag, round(CASE WHEN sum(l_quantity) <> 0 THEN sum(l_extendedprice * l_quantity) / sum(l_quantity) ELSE 0 END, 4) AS mean FROM lineitem GROUP BY 1")
+def weighted_mean(spark, d):
+    return C.weighted_mean(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity").withColumn("mean", F.round("mean", 4))
+
+
+def weighted_nodes(spark, d):
+    return node_points(spark, d).withColumn("w", F.lit(1.0))
+
+
+def node_centres(spark, d):
+    n = spark.range(1, 5).select(F.col("id").cast("int").alias("node"))
+    return cut(n.crossJoin(first_centres(spark, d)))
+
+
+@query(f"""WITH {E}, {CENT}, {near_sql('n', 'ct')}, t AS (SELECT sum(cost) AS total, avg(cost) AS mean FROM n), o AS (SELECT id, cost, sum(cost) OVER (ORDER BY id) AS hi FROM n), dr AS (SELECT k, {uniform_sql('1', 'k', '1')} AS u FROM range(1, 101) g(k)),
+p AS (SELECT o.id, o.cost, count(*) AS times FROM o, dr, t WHERE u * total >= hi - cost AND u * total < hi GROUP BY ALL) SELECT id, round(times * total / 100 / (cost + 1e-5 * mean), 4) AS w FROM p, t""")
+def coreset_weights(spark, d):
+    c = C.coreset(emb(spark, d).withColumn("w", F.lit(1.0)), first_centres(spark, d), 100)
+    return c.where("not is_center").select("id", F.round("w", 4).alias("w"))
+
+
+@query(f"WITH {E}, n AS (SELECT (floor({uniform_sql('id', '1')} * 4) + 1)::INT AS node FROM e) SELECT node, round(count(*)::DOUBLE, 4) AS mass FROM n GROUP BY 1")
+def distributed_coreset(spark, d):
+    """The mass of each node's coreset, which is that of its points."""
+    c = C.distributed_coreset(weighted_nodes(spark, d), node_centres(spark, d), 60)
+    return c.groupBy("node").agg(F.round(F.sum("w"), 4).alias("mass"))
+
+
+@query(ORACLE_SQL["distributed_coreset"])
+def combined_coreset(spark, d):
+    """The same for coresets that nodes draw on their own."""
+    c = C.combined_coreset(weighted_nodes(spark, d), node_centres(spark, d), 60, 4)
+    return c.groupBy("node").agg(F.round(F.sum("w"), 4).alias("mass"))
+
+
+@query()
+def tree_coreset(spark, d):
+    tree = G.spanning_tree(G.grid_graph(spark, 2), 1).select(F.col("parent").cast("int").alias("parent"), F.col("child").cast("int").alias("child"))
+    made, sent = C.merged_on_tree(weighted_nodes(spark, d), tree, 1, 3, 40)
+    return made.agg(F.count("*").alias("points"), F.round(F.sum("w"), 2).alias("mass")).crossJoin(sent)
+
+
+@query()
+def kmeans_plus_plus(spark, d):
+    p = emb(spark, d).withColumn("w", F.lit(1.0))
+    return rounded(C.kmeans_cost(p, C.kmeans_pp(p, 4)), "cost")
+
+
+@query()
+def kmeans_best_runs(spark, d):
+    p = cut(emb(spark, d).withColumn("w", F.lit(1.0)))
+    return rounded(C.kmeans_cost(p, C.best_lloyd(p, 3, rounds=2, runs=2)), "cost")
+
+
+@query()
+def single_swap_centres(spark, d):
+    return C.single_swap(weighted_nodes(spark, d), 3, runs=1, swaps=5).select("node", "centre")
+
+
+@query(f"WITH {E}, g AS (SELECT k FROM range(1, 65) g(k)), m AS (SELECT k, avg(v[k]) AS m FROM e, g GROUP BY 1), x AS (SELECT id, k, v[k] - m AS x FROM e, m) SELECT (a.k - 1)::INT AS a, (b.k - 1)::INT AS b, round(sum(a.x * b.x), 6) + 0.0 AS g FROM x a JOIN x b ON a.id = b.id AND a.k <= b.k GROUP BY ALL")
+def pca_gramian(spark, d):
+    return rounded(A.gramian(A.centred(emb(spark, d))), "g")
+
+
+@query()
+def pca_explained(spark, d):
+    p = emb(spark, d)
+    return rounded(A.explained_variance(A.principal_components(p, 5), p), "share")
+
+
+@query()
+def pca_distributed(spark, d):
+    return rounded(A.distributed_pca(node_points(spark, d), 10, 5).select("component", "eigenvalue"), "eigenvalue")
+
+
+@query(f"WITH {E}, g AS (SELECT k FROM range(1, 65) g(k)), m AS (SELECT k, avg(v[k]) AS m FROM e, g GROUP BY 1) SELECT id, round(sum((v[k] - m) * (v[k] - m)), 6) AS length FROM e, m GROUP BY 1")
+def pca_roundtrip(spark, d):
+    p = A.centred(emb(spark, d))
+    c = A.principal_components(p, 64)
+    back = A.back_project(A.project(p, c), c)
+    return back.select("id", F.round(V.dot("v", "v"), 6).alias("length"))
+
+
+AFF = f"{E}, aff AS (SELECT a.id AS i, b.id AS j, exp(-{SQDIST} / 0.5) AS a FROM e a, e b WHERE a.id <> b.id)"
+
+
+@query(f"WITH {AFF} SELECT i, round(sum(a), 6) AS degree, round(max(a), 6) AS top FROM aff GROUP BY 1")
+def spectral_affinity(spark, d):
+    return A.affinity(emb(spark, d), 0.5).groupBy("i").agg(F.round(F.sum("a"), 6).alias("degree"), F.round(F.max("a"), 6).alias("top"))
+
+
+@query(f"WITH {AFF}, dg AS (SELECT i, sum(a) AS d FROM aff GROUP BY 1) SELECT aff.i, round(sum(a / sqrt(x.d * y.d)), 6) AS total FROM aff JOIN dg x ON x.i = aff.i JOIN dg y ON y.i = aff.j GROUP BY 1")
+def spectral_degree_norm(spark, d):
+    return A.degree_normalised(cut(A.affinity(emb(spark, d), 0.5))).groupBy("i").agg(F.round(F.sum("a"), 6).alias("total"))
+
+
+@query()
+def spectral_clusters(spark, d):
+    return A.spectral_clusters(emb(spark, d), 3, 0.5, rounds=3, lloyd_rounds=2).select("id", "centre")
+
+
+@query()
+def bisecting_clusters(spark, d):
+    return A.repeated_bisection(emb(spark, d), 4)
+
+
+# ---- R
+@query()
+def cure_points(spark, d):
+    return R.cure(spark, 200)
+
+
+@query()
+def ring_points(spark, d):
+    return R.circles(spark, 500).unionByName(R.moons(spark, 500))
+
+
+@query()
+def jittered_points(spark, d):
+    return R.jitter(emb(spark, d), 0.01).select("id", F.round(V.norm("v"), 6).alias("length"))
+
+
+@query("SELECT 0 AS row, '| kind | points |' AS line UNION ALL SELECT row_number() OVER (ORDER BY t)::INT, '| ' || t || ' | ' || n || ' |' FROM (SELECT event_type AS t, count(*) AS n FROM events GROUP BY 1)")
+def result_report(spark, d):
+    t = table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("points"))
+    return R.report(t)
