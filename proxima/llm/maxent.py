@@ -11,7 +11,7 @@ that grows with the vocabulary goes to the driver), co-occurrence counts from wh
 passes. The first gradient is taken where all weights are zero, so it needs counts only; the next are full forward passes;
 tasks return their gradients in blocks that are summed where they meet. Steps are scaled by the expected counts.
 
-The HEAD most frequent words go to every task with their counts (that many rows at most); counts of all other words are
+The most frequent words go to every task with their counts (HEAD rows at most); counts of all other words are
 found by a join, so scores are exact for the whole vocabulary. Null texts are empty (one token, the end); without training
 texts every count is zero; repeated rows are scored alike; an empty table gives no rows.
 """
@@ -300,9 +300,17 @@ def fit(docs: DataFrame):
     counts = cut(word_counts(docs))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     texts = docs.where(~F.col("held_out")).count()
-    top = counts.orderBy(F.desc("c"), "w").limit(HEAD).toPandas()
-    head = Head([(bytes(w), int(c)) for w, c in zip(top["w"], top["c"])])
-    del top
+    # a histogram of counts (64 bins a doubling) gives the least bin with which the head stays within its bound
+    level = F.floor(F.log2("c") * 64)
+    above, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["b"]):
+        if (above := above + r["k"]) > HEAD:
+            break
+        least = r["b"]
+    top = counts.where(level >= least).toPandas() if least is not None else None
+    words = [] if top is None else sorted(zip(map(bytes, top["w"]), map(int, top["c"])), key=lambda x: (-x[1], x[0]))
+    head = Head(words)
+    del top, words
     sent = spark.sparkContext.broadcast(head)
     by_shape = {r["s"]: r for r in counts.groupBy(F.expr(f"(31 * cast(conv(hex(substring(w, -1, 1)), 16, 10) as int) + if(octet_length(w) > 1, cast(conv(hex(substring(w, -2, 1)), 16, 10) as int), 0)) % {SHAPES}").alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     group = np.zeros(N_ITEMS)
