@@ -30,8 +30,8 @@ from .common import cut, scratch, small_batches, text_or_empty
 HEAD, ITEMS, SHAPES, CLASSES, CONTEXTS = 262_144, 8192, 256, 32, 64
 #: Rows of the hashed table; values of a block in which tasks return sums; full gradient passes.
 ROWS, BLOCK, PASSES = 1 << 15, 1024, 1
-#: Words that a task counts before it sends its counts on.
-FLUSH = 300_000
+#: Words that a task counts before it sends its counts on; bytes of text that a pass takes together.
+FLUSH, TOGETHER = 300_000, 6_000_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Counts of the prior that the first weights, the steps and the class-wise item distributions are smoothed with.
 PRIOR, DAMP, BACK = 8.0, 8.0, 20.0
@@ -116,11 +116,15 @@ def _totals(task, head):
     """A task's totals as blocks: task(state, texts) adds to its arrays; empty blocks are left out."""
 
     def run(batches):
-        state = None
+        state, texts, size = None, [], 0
         for batch in batches:
-            texts = [t for held, t in zip(batch.column("held_out").to_pylist(), batch.column("text").to_pylist()) if not held]
-            if texts:
-                state = task(state, head.value, texts)
+            own = [t for held, t in zip(batch.column("held_out").to_pylist(), batch.column("text").to_pylist()) if not held]
+            texts += own
+            size += sum(map(len, own))
+            if size > TOGETHER:
+                state, texts, size = task(state, head.value, texts), [], 0
+        if texts:
+            state = task(state, head.value, texts)
         if state is not None:
             v = np.concatenate([x.ravel() for x in state]).astype(np.float32)
             v = np.pad(v, (0, -len(v) % BLOCK)).reshape(-1, BLOCK)
@@ -237,11 +241,14 @@ def _gradient(model):
         for at in range(0, len(key), 1 << 15):
             own = slice(at, at + (1 << 15))
             f = features(one[own], two[own])
-            p = np.exp(m.forward(f)) * times[own, None]
-            for rows in f:
-                order = np.argsort(rows, kind="stable")
-                begin = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
-                state[0].reshape(ROWS, CLASSES)[rows[order][begin]] += np.add.reduceat(p[order], begin, axis=0)
+            p = np.exp(m.forward(f)) * times[own, None].astype(np.float32)
+            for k, rows in enumerate(f):
+                q = p
+                if k:  # by the word before they are in order
+                    order = np.argsort(rows.astype(np.int32), kind="stable")
+                    rows, q = rows[order], p[order]
+                begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                np.add.at(state[0].reshape(ROWS, CLASSES), rows[begin], np.add.reduceat(q, begin, axis=0))
         return state
 
     return task
