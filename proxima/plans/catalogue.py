@@ -88,12 +88,12 @@ def snn20(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- K, N
-@query(f"WITH {E}, {sim_sql()}, {knn_sql(10)} SELECT i, j, round(s, 6) AS s, rk FROM knn")
+@query(f"WITH {E}, {sim_sql()}, {knn_sql(10)} SELECT i, j, round(s, 6) AS s, rk::INT AS rk FROM knn")
 def cosine_topk(spark, d):
     return rounded(K.knn(emb(spark, d), 10), "s")
 
 
-@query(f"WITH {E}, {sim_sql(measure=f'1 / (1 + sqrt({SQDIST}))')}, {knn_sql(10)} SELECT i, j, round(s, 6) AS s, rk FROM knn")
+@query(f"WITH {E}, {sim_sql(measure=f'1 / (1 + sqrt({SQDIST}))')}, {knn_sql(10)} SELECT i, j, round(s, 6) AS s, rk::INT AS rk FROM knn")
 def euclid_topk(spark, d):
     return rounded(K.knn(emb(spark, d), 10, "euclidean"), "s")
 
@@ -293,7 +293,7 @@ def doc_index_join_upper(spark, d):
     return rounded(K.index_join(f, symmetric=False, diagonal=True).where("s >= 0.05"), "s")
 
 
-@query(f"WITH {IDX}, {knn_sql(5)} SELECT i, j, round(s, 6) AS s, rk FROM knn")
+@query(f"WITH {IDX}, {knn_sql(5)} SELECT i, j, round(s, 6) AS s, rk::INT AS rk FROM knn")
 def doc_knn(spark, d):
     return rounded(K.top_k(K.index_join(doc_features(spark, d)), 5), "s")
 
@@ -373,7 +373,7 @@ def cluster_contingency(spark, d):
     return M.contingency(M.without_noise(snn_clusters(spark, d).join(truth, "id").select(F.col("cluster").alias("pred"), "truth")))
 
 
-@query("SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY f) AS code FROM (SELECT o_orderkey, o_orderpriority, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS f FROM orders)")
+@query("SELECT o_orderkey, o_orderpriority, (dense_rank() OVER (ORDER BY f))::INT AS code FROM (SELECT o_orderkey, o_orderpriority, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS f FROM orders)")
 def label_codes(spark, d):
     return M.encode_labels(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
 
@@ -574,7 +574,7 @@ def graph_degree(spark, d):
     return G.degree(trade(spark, d))
 
 
-@query(f"WITH {NATIONS} SELECT src::BIGINT AS src, dst::BIGINT AS dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS position FROM ed")
+@query(f"WITH {NATIONS} SELECT src::BIGINT AS src, dst::BIGINT AS dst, (row_number() OVER (PARTITION BY src ORDER BY dst))::INT AS position FROM ed")
 def graph_adjacency(spark, d):
     return G.adjacency(trade(spark, d)).select("src", "dst", "position")
 
@@ -585,7 +585,7 @@ def graph_connected(spark, d):
     return G.connected(e.select(F.col("src").alias("id")).distinct(), e.select(F.col("src").alias("i"), F.col("dst").alias("j")))
 
 
-@query("SELECT * FROM (VALUES (1, 2), (1, 9), (9, 3), (9, 7), (3, 4), (3, 5), (3, 6), (7, 8)) t(parent, child)")
+@query("SELECT parent::BIGINT AS parent, child::BIGINT AS child FROM (VALUES (1, 2), (1, 9), (9, 3), (9, 7), (3, 4), (3, 5), (3, 6), (7, 8)) t(parent, child)")
 def spanning_tree(spark, d):
     return G.spanning_tree(_edges(spark, [(a, b, 1) for a, b in HOPS]), 1)
 
