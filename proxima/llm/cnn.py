@@ -65,15 +65,15 @@ class Net:
             out += more
         return out
 
-    def block_maxima(self, padded: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The largest response of each block. Blocks follow one another and end with the last position."""
+    def block_maxima(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The largest response of each block, whose positions are starts to ends; blocks are in order."""
         out = np.empty((len(starts), FILTERS), np.float32)
-        ends = np.append(starts[1:], len(padded) - WIDTH + 1)
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
             got = self.responses(padded[starts[i] : ends[j - 1] + WIDTH - 1])
-            out[i:j] = np.maximum.reduceat(got, starts[i:j] - starts[i], axis=0)
+            bounds = np.column_stack([starts[i:j], ends[i:j]]).ravel()[:-1] - starts[i]  # what lies between blocks is reduced on its own
+            out[i:j] = np.maximum.reduceat(got, bounds, axis=0)[::2]
             i = j
         return np.maximum(out + self.bias, 0)
 
@@ -86,7 +86,7 @@ class Net:
         blocks = -(-sizes // BLOCK)
         first = np.cumsum(blocks) - blocks
         starts = np.repeat(begins, blocks) + (np.arange(blocks.sum()) - np.repeat(first, blocks)) * BLOCK
-        top = self.block_maxima(data, starts)
+        top = self.block_maxima(data, starts, np.minimum(starts + BLOCK, np.repeat(begins + sizes, blocks)))
         chunks = np.maximum(1, -(-(blocks - BLOCKS) // STEP) + 1)
         at = np.repeat(first, chunks) + (np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * STEP
         last = np.repeat(first + blocks - 1, chunks)
