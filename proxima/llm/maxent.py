@@ -333,14 +333,16 @@ def fit(docs: DataFrame):
     classes = clusters(co)
     first, pairs = totals(docs, sent, _first_gradient(classes), [ROWS * CLASSES, CLASSES * N_ITEMS])
     pairs = pairs.reshape(CLASSES, N_ITEMS)
-    item = pairs.sum(0) + 0.5
+    item = pairs.sum(0)
+    item[0] += 0.5  # what may be met unseen: the end, and groups; the other items are words that were seen
+    item[1 + ITEMS :] += 0.5
     of_class = np.bincount(classes, item, CLASSES)
     within = np.empty((CLASSES, N_ITEMS), np.float32)
-    share = item / of_class[classes]
+    share = np.maximum(item, 1e-30) / np.maximum(of_class[classes], 1e-9)
     for c in range(CLASSES):  # the class before; per class of the item the shares add up to one
         seen = np.bincount(classes, pairs[c], CLASSES)
         within[c] = np.log10((pairs[c] + BACK * share) / (seen[classes] + BACK))
-    prior = np.where(np.bincount(classes, minlength=CLASSES) > 0, of_class, 1e-9)
+    prior = np.maximum(of_class, 1e-9)
     prior = prior / prior.sum()
     emp = first.reshape(ROWS, CLASSES)
     seen = emp.sum(1, keepdims=True)

@@ -424,10 +424,18 @@ def test_language_model(spark):
         base = sum(math.log10((c[y] + 1) / (n + v + 1)) for y in w) + math.log10((ends + 1) / (n + v + 1))
         assert (x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (r["doc_id"], held(r["doc_id"]), len(w) + 1, sum(c[y] > 0 for y in w) + 1, n)
         assert abs(x["base_score"] - base) < 1e-6 * max(1, abs(base)) and math.isfinite(x["score"]) and x["score"] < 0
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert scored(docs(spark, [])).count() == 0
 
 
+def test_language_model_learns_context(spark):
+    from proxima.llm.maxent import scored
+
+    r = random.Random(1)
+    rows = [" ".join(r.choice("abcdefghijklmnopqrst") + "xy"[i % 2] for _ in range(60)) for i in range(300)]  # two languages
+    got = [x for x in scored(docs(spark, rows)).collect() if x["held_out"]]
+    assert len(got) > 20 and sum(x["score"] for x in got) > 0.9 * sum(x["base_score"] for x in got)
+
+
 def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     from proxima.llm import maxent
 
