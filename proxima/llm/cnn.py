@@ -22,7 +22,7 @@ from .common import cut, small_batches, text_or_empty
 FILTERS, WIDTH, BLOCK, BLOCKS, STEP = 16, 6, 64, 4, 3
 #: A chunk is BLOCKS blocks, and begins STEP blocks after the one before.
 CHUNK = BLOCK * BLOCKS
-SAMPLE, WINDOWS, EPOCHS, BATCH, RATE, SEED = 4000, 6, 5, 64, 0.01, 11
+SAMPLE, WINDOWS, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 4000, 6, 5, 300, 64, 0.01, 11
 #: Positions that are convolved at a time.
 SLICE = 1 << 15
 
@@ -119,7 +119,8 @@ def train(rows: list) -> Net:
     net.offset = 0.0
     params = [net.filters, net.bias, net.dense, np.array([net.offset], np.float32)]
     m, v, r, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], np.random.default_rng(SEED), 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(rows) // BATCH)))  # small samples are seen more often
+    for epoch in range(epochs):
         for batch in np.array_split(r.permutation(len(rows)), -(-len(rows) // BATCH)):
             chunks = [c for i in batch for c in rows[i][2]]
             doc = np.repeat(np.arange(len(batch)), [len(rows[i][2]) for i in batch])
@@ -149,7 +150,7 @@ def train(rows: list) -> Net:
             for p, g, a, b2 in zip(params, grad, m, v):
                 a += 0.1 * (g - a)
                 b2 += 0.001 * (g * g - b2)
-                p -= RATE * (0.3 if epoch == EPOCHS - 1 else 1) * (a / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.999**step)) + 1e-8)
+                p -= RATE * (0.3 if epoch == epochs - 1 else 1) * (a / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.999**step)) + 1e-8)
     net.offset = float(params[3][0])
     return net
 
