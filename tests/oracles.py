@@ -6,11 +6,12 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 
 def rows(df) -> list[tuple]:
     cols = sorted(df.columns)
-    show = lambda x: "null" if x is None or x != x else f"{float(x) + 0.0:.6f}" if isinstance(x, float | np.floating) else str(x)
+    show = lambda x: "null" if x is None or x is pd.NA or x != x else f"{float(x) + 0.0:.6f}" if isinstance(x, float | np.floating) else str(x)
     return sorted(tuple(map(show, r)) for r in df[cols].itertuples(index=False))
 
 
