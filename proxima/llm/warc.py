@@ -132,7 +132,7 @@ def _write(folder: str):
             for page_id, url, payload, to, to_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "refers_url"))):
                 if out is None:
                     name, raw, n = f"mono-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out, squeeze = fs.open_output_stream(f"{at}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out, squeeze = fs.open_output_stream(f"{at}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
                 record = record_bytes(page_id, url, payload, to, to_url)
                 out.write(squeeze.compress(record))
                 raw, n = raw + len(record), n + 1
