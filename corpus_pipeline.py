@@ -1,7 +1,7 @@
 """Cleaning and packing documents.
 
 Five stages, each over all rows that the one before kept: the quality classifier rejects documents, quality rules reject
-more, of near-duplicates (fingerprints of 5-word shingles within 7 of 64 bits: a similarity of 0.89) the smallest id
+more, of near-duplicates (5-word shingles of Jaccard similarity 0.8 or more, directly or over others) the smallest id
 stays, personal data is replaced in the texts, and what is left is tokenised and packed.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxima.llm import cnn, packing, pii, quality_rules, simhash
+from proxima.llm import cnn, neardup, packing, pii, quality_rules
 from proxima.llm.common import scratch, table
 from proxima.llm.queries import tokenizer_path
 
@@ -27,7 +27,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs.select(*COLUMNS), limit=7, words=5)
+    return neardup.one_of_each(docs.select(*COLUMNS), words=5)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

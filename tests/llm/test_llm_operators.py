@@ -487,3 +487,64 @@ def test_a_cut_archive_is_refused():
     assert len(list(records_in(inflated(io.BytesIO(data))))) == 9
     with pytest.raises(ValueError):
         list(records_in(inflated(io.BytesIO(data[:-20]))))
+
+
+# ---- near-duplicates of the pipeline
+def shingle_set(t, words=5):
+    w = re.sub("[A-Z]", lambda m: m.group().lower(), body(t)).split()
+    return frozenset(" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def brute_kept(rows, words=5):
+    """One row per component over exact Jaccard similarity 0.8."""
+    sets, up = [shingle_set(t, words) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (x, _) in enumerate(rows):
+        least[root(i)] = min((x is None, x or 0), least.get(root(i), (True, 0)))
+    return Counter(None if none else x for none, x in least.values())
+
+
+def near_copies(seed, words=300):
+    """Texts and copies of each at similarities on both sides of 0.8, chains of copies and one large group."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    out = []
+    for edits in [1, 2, 3, 4, 5, 6, 6, 7, 7, 8, 9, 12] * 8:
+        base = [word() for _ in range(words)]
+        copy = list(base)
+        for i in r.sample(range(0, words, 6), edits):
+            copy[i] = word()
+        out += [" ".join(base), " ".join(copy)]
+    base = [word() for _ in range(words)]
+    for _ in range(60):
+        copy = list(base)
+        for i in r.sample(range(0, words, 6), r.randint(1, 6)):
+            copy[i] = word()
+        out.append(" ".join(copy))
+    for _ in range(8):
+        base[r.randrange(words)] = word()
+        out.append(" ".join(base))
+    return out
+
+
+@pytest.mark.parametrize("full", [4, 0])
+def test_near_duplicates_against_exact_jaccard(spark, full, monkeypatch):
+    """Fingerprints within 7 bits left many of these pairs in; full = 0 takes rounds of centres."""
+    from proxima.llm import neardup
+
+    monkeypatch.setattr(neardup, "FULL", full)
+    rows = list(enumerate(near_copies(3) + texts()))
+    random.Random(1).shuffle(rows)
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(r["doc_id"] for r in got.collect()) == brute_kept(rows)
+    assert neardup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
