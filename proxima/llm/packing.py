@@ -1,9 +1,11 @@
 """Best-fit packing of token pieces into sequences by bin completion.
 
-The plan works on the histogram of piece lengths, which has at most ``capacity`` entries however large the corpus is. It
-takes the longest remaining piece, enumerates undominated fillings of the room beside it by branch and bound (a piece that
-fills the room exactly dominates all; fillings are pruned by the waste they must leave; the best-fit filling is the first
-incumbent), and uses the filling found as often as the histogram allows. Pieces then look up their place by (length, rank).
+The plan works on the histogram of piece lengths, which has at most ``capacity`` entries however large the corpus is. First
+packings are made greedily: the longest remaining piece with its best-fit filling, or with the filling that leaves least
+waste, as often as the histogram allows. While they take more sequences than a lower bound, branch and bound looks for
+fewer, by bisection from the bound: it branches over the undominated fillings beside the longest piece and over how often each is used, leaves a branch
+when its waste exceeds what so many sequences allow, and visits branches with few departures from the first choice first.
+A goal is given up when no branch is left or after WORK steps, so the packing is optimal where the search was whole.
 
 Null texts are empty and give the one end id. Repeated rows are packed like any others; a null doc_id stays null. An empty
 table gives no rows. Texts of any length are tokenised whole, word by word, in bounded batches.
@@ -13,7 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from .common import cut, small_batches, text_or_empty
 CAPACITY, END_ID = 2048, 0
 #: Nodes of one search for a filling; then the incumbent stands.
 NODES = 2000
+#: Steps of the branch and bound towards one number of sequences, and fillings that it considers beside one piece.
+WORK, OPTIONS = 200_000, 24
 #: Words whose ids a task keeps.
 WORDS_KEPT = 400_000
 
@@ -120,10 +125,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
 
 
 class _Fill:
-    """Undominated fillings of a room with items of the histogram."""
+    """The filling of a room with items of the histogram that wastes least."""
 
-    def __init__(self, lengths: list[int], counts: dict[int, int]):
-        self.lengths, self.counts = lengths, counts  # lengths ascending; those with count 0 are removed
+    def __init__(self, lengths: list[int], counts: dict[int, int], most: int = NODES):
+        self.lengths, self.counts, self.most = lengths, counts, most  # lengths ascending; those with count 0 are removed
 
     def best(self, room: int, used: int | None = None) -> list[int]:
         """Item lengths, largest first, that waste least; among equals those found first, which use the largest items."""
@@ -139,7 +144,8 @@ class _Fill:
             r -= x * n
             at -= 1
         self.incumbent, self.waste, self.nodes, self.left = greedy, r, 0, left
-        if self.waste and self.lengths:
+        if self.waste and self.lengths and self.most:
+            self.below = [0, *accumulate(x * left(x) for x in self.lengths)]
             self._search(room, len(self.lengths), [])
         return self.incumbent
 
@@ -147,43 +153,186 @@ class _Fill:
         if room < self.waste:
             self.incumbent, self.waste = list(chosen), room
         self.nodes += 1
-        if not self.waste or self.nodes > NODES:
+        if not self.waste or self.nodes > self.most:
             return
         at = bisect_right(self.lengths, room, 0, top)
-        while at > 0 and self.waste and self.nodes <= NODES:
-            x = self.lengths[at - 1]
-            # what items up to x can still fill: if even all of them leave as much waste, no branch here helps
-            if x == self.lengths[0] and room - min(room // x, self.left(x)) * x >= self.waste:
+        while at > 0 and self.waste and self.nodes <= self.most:
+            # what items up to this one can still fill: if even all of them leave as much waste, no branch here helps
+            if room - self.below[at] >= self.waste:
                 return
-            n = min(self.left(x), room // x)
-            for c in range(n, 0, -1):
-                if room - c * x and c < n and x * (n - c) <= 0:
-                    break
+            x = self.lengths[at - 1]
+            for c in range(min(self.left(x), room // x), 0, -1):
                 self._search(room - c * x, at - 1, [*chosen, *[x] * c])
-                if not self.waste or self.nodes > NODES:
+                if not self.waste or self.nodes > self.most:
                     return
             at -= 1
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """[(times, lengths of one sequence)] that uses every piece of the histogram once."""
-    counts = {x: n for x, n in histogram.items() if n > 0}
+def _take(counts: dict[int, int], lengths: list[int], own: list[int], times: int) -> None:
+    """Takes the pieces from the histogram, or gives them back if times is negative."""
+    for x in own:
+        had = counts.get(x, 0)
+        counts[x] = had - times
+        if not counts[x]:
+            del counts[x]
+            lengths.remove(x)
+        elif not had:
+            insort(lengths, x)
+
+
+def _most(counts: dict[int, int], own: list[int]) -> int:
+    return min(counts[x] // own.count(x) for x in set(own))
+
+
+def _greedy(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, list[int]]]:
+    counts = dict(histogram)
     lengths, out = sorted(counts), []
-    fill = _Fill(lengths, counts)
+    fill = _Fill(lengths, counts, nodes)
     while lengths:
         big = lengths[-1]
         own = [big, *fill.best(capacity - big, big)] if capacity > big else [big]
-        need = {x: own.count(x) for x in own}
-        times = min(counts[x] // n for x, n in need.items())
-        for x, n in need.items():
-            counts[x] -= n * times
-            if not counts[x]:
-                del counts[x]
-                lengths.remove(x)
+        times = _most(counts, own)
+        _take(counts, lengths, own, times)
         out.append((times, own))
     return out
 
 
+def bound(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound of the sequences: by the sum, and by pieces over half of the capacity with what fits beside none of them."""
+    total = sum(x * n for x, n in histogram.items())
+    least = -(-total // capacity)
+    large = [(x, n) for x, n in histogram.items() if 2 * x > capacity]
+    number = sum(n for _, n in large)
+    small = 0
+    for k in sorted((x for x in histogram if 2 * x <= capacity), reverse=True):
+        small += k * histogram[k]  # of lengths from k to half of the capacity
+        free = sum((capacity - x) * n for x, n in large if x <= capacity - k)
+        least = max(least, number + max(0, -(-(small - free) // capacity)))
+    return max(least, number)
+
+
+def _dominated(own: list[int], waste: int, big: int, lengths: list[int], counts: dict[int, int]) -> bool:
+    """Whether a piece left out could take the place of some of the filling's, which then fit wherever it would have gone."""
+    sums = {0: 0}  # of some of the filling's pieces, with the least number of them
+    for x in own[:10]:
+        for v, k in list(sums.items()):
+            sums[v + x] = min(sums.get(v + x, k + 1), k + 1)
+    for v, k in sums.items():
+        at = bisect_left(lengths, max(v, 1))
+        while at < len(lengths) and lengths[at] <= v + waste:
+            x = lengths[at]
+            if counts[x] > own.count(x) + (x == big) and not (k == 1 and x == v and v in own):
+                return True
+            at += 1
+    return False
+
+
+class _Search:
+    """Branch and bound for a packing into fewer sequences than known."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.histogram, self.capacity, self.work, self.whole = histogram, capacity, 0, True
+        self.total = sum(x * n for x, n in histogram.items())
+
+    def fillings(self, counts: dict[int, int], lengths: list[int], slack: int) -> list[tuple[int, list[int]]]:
+        """(waste, filling beside the longest piece), least waste first; `whole` says whether none was left out."""
+        big = lengths[-1]
+        room = self.capacity - big
+        left = lambda x: counts.get(x, 0) - (x == big)
+        if room <= 0 or left(room) > 0:
+            return [(0, [room] if room > 0 else [])]
+        below = [0, *accumulate(x * left(x) for x in lengths)]
+        self.work += len(lengths)
+        out, nodes = {}, 0
+
+        def go(room: int, top: int, chosen: list[int], most: int) -> None:
+            nonlocal nodes
+            nodes += 1
+            at = bisect_right(lengths, room, 0, top)
+            while at > 0 and room - below[at] <= most:
+                if nodes > NODES or len(out) >= OPTIONS:
+                    self.whole = False
+                    return
+                x = lengths[at - 1]
+                for c in range(min(left(x), room // x), 0, -1):
+                    go(room - c * x, at - 1, [*chosen, *[x] * c], most)
+                at -= 1
+            if room <= most and tuple(chosen) not in out and not _dominated(chosen, room, big, lengths, counts):
+                out[tuple(chosen)] = room
+
+        before = self.whole
+        go(room, len(lengths), [], 0)
+        if slack and len(out) < OPTIONS:
+            self.whole = before
+            self.work += nodes
+            nodes = 0
+            go(room, len(lengths), [], min(slack, room))
+        elif slack:
+            self.whole = False
+        self.work += nodes
+        return sorted(((w, list(f)) for f, w in out.items()), key=lambda f: f[0])
+
+    def options(self, counts: dict[int, int], lengths: list[int], slack: int) -> list[tuple[int, int, list[int]]]:
+        """(times, waste in all, pieces of one sequence): each filling as often as it can be, then less often."""
+        big, out = lengths[-1], []
+        for waste, filling in self.fillings(counts, lengths, slack):
+            own, turn = [big, *filling], 0
+            times = _most(counts, own) if not waste else min(_most(counts, own), slack // waste)
+            while times:
+                out.append((turn, times, times * waste, own))
+                times, turn = times // 2, turn + 1
+        return [o[1:] for o in sorted(out, key=lambda o: o[0])]
+
+    def fewer(self, sequences: int) -> list[tuple[int, list[int]]] | None:
+        """A packing into at most `sequences`; None if there is none or it was not found within WORK."""
+        self.work = 0
+        for departures in (0, 1, 2, 3, 5, 8, 16, 32, 10**9):
+            self.whole = True
+            made = self._within(sequences * self.capacity - self.total, departures)
+            if made or self.whole or self.work > WORK:
+                return made
+        return None
+
+    def _within(self, slack: int, departures: int) -> list[tuple[int, list[int]]] | None:
+        counts, path = dict(self.histogram), []
+        lengths = sorted(counts)
+        frames = [[self.options(counts, lengths, slack), 0, departures, slack]]
+        while frames and self.work <= WORK:
+            options, at, more, slack = frames[-1]
+            if len(path) == len(frames):
+                times, own = path.pop()
+                _take(counts, lengths, own, -times)
+            if at == len(options) or (at and not more):
+                self.whole &= at == len(options)
+                frames.pop()
+                continue
+            frames[-1][1] += 1
+            times, waste, own = options[at]
+            _take(counts, lengths, own, times)
+            path.append((times, own))
+            self.work += 1
+            if not lengths:
+                return path
+            frames.append([self.options(counts, lengths, slack - waste), 0, more - (at > 0), slack - waste])
+        return None
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """[(times, lengths of one sequence)] that uses every piece of the histogram once."""
+    histogram = {x: n for x, n in histogram.items() if n > 0}
+    number = lambda made: sum(times for times, _ in made)
+    made = min((_greedy(histogram, capacity, n) for n in (NODES, 0)), key=number)
+    least, search = bound(histogram, capacity), _Search(histogram, capacity)
+    goal = least
+    while least < number(made):
+        if better := search.fewer(goal):
+            made = better
+        else:
+            least = goal + 1
+        goal = (least + number(made) - 1) // 2
+    return made
+
+
 def _placed(patterns: list[tuple[int, list[int]]]):
     """Per length, the runs of ranks that a pattern takes: (first rank, per sequence, first sequence, offset in it)."""
     runs: dict[int, list] = {}

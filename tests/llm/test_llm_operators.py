@@ -165,6 +165,33 @@ def test_bin_completion_against_all_partitions(seed):
     assert sum(n for n, _ in made) == least(sorted(items, reverse=True), [])
 
 
+def test_bin_completion_backs_out_of_a_first_filling():
+    """1228 takes 635 and 185 first, which leaves pieces that fill no sequence."""
+    from proxima.llm.packing import plan
+
+    want = {x: 1000 for x in (1228, 1126, 635, 287, 1023, 840, 185)} | {410: 2000}
+    made, got = plan(want), Counter()
+    for times, own in made:
+        got.update({x: times * own.count(x) for x in own})
+        assert sum(own) <= 2048
+    assert got == want and sum(n for n, _ in made) == 3000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_planted_full_sequences(seed):
+    """Histograms that three-piece full sequences were cut into, with repeats, are packed without waste."""
+    from proxima.llm.packing import plan
+
+    r, want, bins = random.Random(seed), Counter(), 0
+    for _ in range(4):
+        a, b = sorted(r.sample(range(100, 1948), 2))
+        times = r.randint(1, 500)
+        bins += times
+        for x in (a, b - a, 2048 - b):
+            want[x] += times
+    assert sum(n for n, _ in plan(want)) == bins
+
+
 def test_hot_length(spark):
     from proxima.llm.packing import pack
 
