@@ -2,8 +2,8 @@
 
 Learned filters of WIDTH bytes slide over the whole text; chunks of CHUNK bytes that overlap max-pool their responses, a
 dense layer, which also sees how full the chunk is, gives each chunk a logit, and the mean over all chunks gives the
-document's probability (at even odds of the classes, which weigh alike in training). Training runs on the driver, on at most SAMPLE labelled documents chosen by hash, each by up to WINDOWS chunks of its text; scoring reads every
-byte of every text, in slices of bounded size.
+document's probability (at even odds of the classes, which weigh alike in training). Training runs on the driver, on at most SAMPLE labelled documents chosen by hash, each by
+all chunks of its text; training and scoring read every byte of their texts, in slices of bounded size.
 
 Null texts count as empty, an empty text as one zero byte. Rows without a label, or with labels that contradict each other,
 teach nothing; labels that are all alike give a constant smoothed score; without labels the score is 0.5. Repeated rows
@@ -22,24 +22,21 @@ from .common import cut, small_batches, text_or_empty
 FILTERS, WIDTH, BLOCK, BLOCKS, STEP = 16, 6, 64, 4, 3
 #: A chunk is BLOCKS blocks, and begins STEP blocks after the one before.
 CHUNK = BLOCK * BLOCKS
-SAMPLE, WINDOWS, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 4000, 6, 5, 300, 64, 0.01, 11
+SAMPLE, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 4000, 5, 300, 64, 0.01, 11
 #: Positions that are convolved at a time.
 SLICE = 1 << 15
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int = 5, text: str = "text") -> list:
-    """(y, chunks) of at most `sample` labelled documents that are not held out."""
+    """(id, y, whole text) of at most `sample` labelled documents that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null")
     known = known.where(F.crc32(F.col("id").cast("string")) % modulus != 0).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
     known = cut(known)
     every = max(1, known.count() // (2 * sample))  # by hash, so that tasks send the driver about twice the sample in all
     few = known.where(F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample)
-    body = F.col("t")
-    n = F.least(F.lit(WINDOWS), F.ceil(F.length(body) / CHUNK)).cast("int")
-    at = lambda j: F.when(n > 1, F.floor(j * (F.length(body) - CHUNK) / (n - 1))).otherwise(F.lit(0)).cast("int") + 1
     own = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty(text).cast("binary").alias("t")).join(F.broadcast(few), "id")
-    rows = own.select("id", "y", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.substring(body, at(j), F.lit(CHUNK)))).otherwise(F.array(F.lit(b"\0"))).alias("chunks")).dropDuplicates(["id"]).collect()
-    return sorted(((r["id"], r["y"], [bytes(c) for c in r["chunks"]]) for r in rows), key=lambda r: (hash_of(r[0]), r[0]))
+    rows = own.select("id", "y", "t").dropDuplicates(["id"]).collect()
+    return sorted(((r["id"], r["y"], bytes(r["t"])) for r in rows), key=lambda r: (hash_of(r[0]), r[0]))
 
 
 def hash_of(x: int) -> int:
@@ -65,39 +62,61 @@ class Net:
             out += more
         return out
 
-    def block_maxima(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The largest response of each block, whose positions are starts to ends; blocks are in order."""
-        out = np.empty((len(starts), FILTERS), np.float32)
+    def slices(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Yields (i, j, responses from starts[i] to ends[j - 1]) for blocks i to j; blocks, whose positions are starts to ends, are in order."""
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
-            got = self.responses(padded[starts[i] : ends[j - 1] + WIDTH - 1])
+            yield i, j, self.responses(padded[starts[i] : ends[j - 1] + WIDTH - 1])
+            i = j
+
+    def block_maxima(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The largest response of each block."""
+        out = np.empty((len(starts), FILTERS), np.float32)
+        for i, j, got in self.slices(padded, starts, ends):
             bounds = np.column_stack([starts[i:j], ends[i:j]]).ravel()[:-1] - starts[i]  # what lies between blocks is reduced on its own
             out[i:j] = np.maximum.reduceat(got, bounds, axis=0)[::2]
-            i = j
         return np.maximum(out + self.bias, 0)
 
+    def block_peaks(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of each block, without bias, and its position."""
+        top, where = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts), FILTERS), np.int64)
+        for i, j, got in self.slices(padded, starts, ends):
+            at = np.minimum(starts[i:j, None] + np.arange(BLOCK), ends[i:j, None] - 1) - starts[i]  # a short block repeats its last position
+            own = got[at]
+            top[i:j] = own.max(1)
+            first = (own == top[i:j, None]).argmax(1)
+            where[i:j] = starts[i:j, None] + first
+        return top, where
+
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """One per text, from all of its bytes."""
-        texts = [t or b"\0" for t in texts]
-        data = np.frombuffer(b"".join(t + b"\0" * (WIDTH - 1) for t in texts), np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        begins = np.cumsum(sizes + WIDTH - 1) - (sizes + WIDTH - 1)
-        blocks = -(-sizes // BLOCK)
-        first = np.cumsum(blocks) - blocks
-        starts = np.repeat(begins, blocks) + (np.arange(blocks.sum()) - np.repeat(first, blocks)) * BLOCK
-        top = self.block_maxima(data, starts, np.minimum(starts + BLOCK, np.repeat(begins + sizes, blocks)))
-        chunks = np.maximum(1, -(-(blocks - BLOCKS) // STEP) + 1)
-        at = np.repeat(first, chunks) + (np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * STEP
-        last = np.repeat(first + blocks - 1, chunks)
-        pooled = top[at]
+        data, starts, ends, blocks, chunks, length = _layout(texts)
+        top = self.block_maxima(data, starts, ends)
+        pooled = top[blocks[:, 0]]
         for k in range(1, BLOCKS):
-            np.maximum(pooled, top[np.minimum(at + k, last)], out=pooled)
-        length = np.minimum(np.repeat(sizes, chunks) - (at - np.repeat(first, chunks)) * BLOCK, CHUNK)
+            np.maximum(pooled, top[blocks[:, k]], out=pooled)
         each = pooled @ self.dense[:-1] + _fill(length) * self.dense[-1]
         return np.add.reduceat(each, np.cumsum(chunks) - chunks) / chunks + self.offset
 
 
+def _layout(texts: list[bytes]):
+    """The padded bytes, starts and ends of blocks, the blocks of each chunk, the number of chunks of each text, the bytes of each chunk."""
+    texts = [t or b"\0" for t in texts]
+    data = np.frombuffer(b"".join(t + b"\0" * (WIDTH - 1) for t in texts), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes + WIDTH - 1) - (sizes + WIDTH - 1)
+    blocks = -(-sizes // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    starts = np.repeat(begins, blocks) + (np.arange(blocks.sum()) - np.repeat(first, blocks)) * BLOCK
+    ends = np.minimum(starts + BLOCK, np.repeat(begins + sizes, blocks))
+    chunks = np.maximum(1, -(-(blocks - BLOCKS) // STEP) + 1)
+    at = np.repeat(first, chunks) + (np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * STEP
+    last = np.repeat(first + blocks - 1, chunks)
+    length = np.minimum(np.repeat(sizes, chunks) - (at - np.repeat(first, chunks)) * BLOCK, CHUNK)
+    return data, starts, ends, np.minimum(at[:, None] + np.arange(BLOCKS), last[:, None]), chunks, length
+
+
 def _fill(length: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(length, 1) / CHUNK)
 
@@ -122,20 +141,13 @@ def train(rows: list) -> Net:
     epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(rows) // BATCH)))  # small samples are seen more often
     for epoch in range(epochs):
         for batch in np.array_split(r.permutation(len(rows)), -(-len(rows) // BATCH)):
-            chunks = [c for i in batch for c in rows[i][2]]
-            doc = np.repeat(np.arange(len(batch)), [len(rows[i][2]) for i in batch])
-            per = np.bincount(doc, minlength=len(batch))
-            data = np.frombuffer(b"".join(c + b"\0" * (WIDTH - 1) for c in chunks), np.uint8)
-            sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-            begins = np.cumsum(sizes + WIDTH - 1) - (sizes + WIDTH - 1)
-            where = np.empty((len(chunks), FILTERS), np.int64)
-            raw = np.empty((len(chunks), FILTERS), np.float32)
-            got = net.responses(np.append(data, np.zeros(WIDTH - 1, np.uint8)))
-            for c, (b, n) in enumerate(zip(begins, sizes)):
-                own = got[b : b + n]
-                where[c] = own.argmax(0)
-                raw[c] = own[where[c], np.arange(FILTERS)]
-            where += begins[:, None]
+            data, starts, ends, blocks, per, sizes = _layout([rows[i][2] for i in batch])
+            doc = np.repeat(np.arange(len(batch)), per)
+            top, peak = net.block_peaks(data, starts, ends)
+            best = top[blocks].argmax(1)  # of the chunk's blocks
+            of = np.take_along_axis(blocks, best, 1)
+            f = np.broadcast_to(np.arange(FILTERS), of.shape)
+            raw, where = top[of, f], peak[of, f]
             h = np.maximum(raw + net.bias, 0)
             h = np.column_stack([h, _fill(sizes)]).astype(np.float32)
             z = np.bincount(doc, h @ net.dense, len(batch)) / per + params[3][0]
@@ -143,9 +155,9 @@ def train(rows: list) -> Net:
             d = (loss / len(batch))[doc] / per[doc]
             back = np.where(h[:, :-1] > 0, d[:, None] * net.dense[None, :-1], 0).astype(np.float32)
             grad = [np.zeros_like(net.filters), back.sum(0), (d[:, None] * h).sum(0).astype(np.float32), np.array([loss.mean()], np.float32)]
-            f = np.broadcast_to(np.arange(FILTERS), where.shape)
             for k in range(WIDTH):
-                np.add.at(grad[0][k], (data[where + k], f), back)
+                cell = data[where + k].astype(np.int64) * FILTERS + f
+                grad[0][k] = np.bincount(cell.ravel(), back.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             step += 1
             for p, g, a, b2 in zip(params, grad, m, v):
                 a += 0.1 * (g - a)

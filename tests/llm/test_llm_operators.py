@@ -430,6 +430,27 @@ def test_every_byte_counts():
         assert abs(np.mean(each) + net.offset - g) < 1e-4
 
 
+def test_training_reads_whole_texts(spark):
+    """Long texts that are bad for one passage, wherever it is: six windows of each saw it in few of them."""
+    from proxima.llm.cnn import labelled, model, scored
+
+    r = random.Random(4)
+
+    def text(bad):
+        t = "".join(r.choice("abcdefghij ") for _ in range(12_000))
+        at = r.randrange(600, 1000)
+        return t[:at] + "ZQ#XV!" * 150 + t[at + 900 :] if bad else t
+
+    rows = [(i, text(i % 2 == 0)) for i in range(160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int")
+    assert {x[0]: x[2].decode() for x in labelled(d, labels)} == {i: t for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    s = {x["doc_id"]: x["score"] for x in scored(d, model(d, labels)).collect()}
+    held = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5 == 0]
+    good, bad = [s[i] for i in held if i % 2], [s[i] for i in held if not i % 2]
+    assert np.mean([a > b for a in good for b in bad]) > 0.95
+
+
 # ---- language model
 def test_language_model(spark):
     from proxima.llm.maxent import scored
