@@ -115,6 +115,7 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         if not left:
             break
         at = cut(at.join(per.select("g"), "g", "left_semi"))
+        members = at.select("g", "s", "n")  # groups of one component stay so
         whole = left <= FULL * size or turn == ROUNDS
         if whole:
             pairs = _pairs(at, at)
@@ -139,7 +140,9 @@ def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str
     key = F.xxhash64(body)
     rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("h"), body.alias("t")).mapInArrow(_signatures(words), "doc_id long, h long, s long, n long, keys array<long>"))
     dealt = rows.dropDuplicates(["s"]).select(F.explode("keys").alias("g"), "s", "n")
-    shared = dealt.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    # groups of the same members, as most bands of near copies make, are one
+    of = dealt.groupBy("g").agg(F.count("*").alias("k"), *[F.expr(f"bit_xor(xxhash64(s, {i}))").alias(f"x{i}") for i in (1, 2)]).where("k > 1")
+    shared = of.groupBy("k", "x1", "x2").agg(F.min("g").alias("g")).select("g")
     members = cut(dealt.join(shared, "g"))
     some = members.select("s").distinct().join(rows.groupBy("s").agg(F.min("h").alias("h")), "s")
     sets = cut(docs.select(key.alias("h"), body.alias("t")).join(some, "h").dropDuplicates(["s"]).select("s", "t").mapInArrow(_sets(words), "s long, x binary"))
