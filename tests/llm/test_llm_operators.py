@@ -596,3 +596,13 @@ def test_near_duplicates_against_exact_jaccard(spark, full, monkeypatch):
     got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(r["doc_id"] for r in got.collect()) == brute_kept(rows)
     assert neardup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    """Different texts of one id both stay; copies without id do not."""
+    from proxima.llm.neardup import one_of_each
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    d = spark.createDataFrame([(None, a), (None, a), (7, b), (7, c), (7, c), (9, c), (None, c)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"][0]) for r in one_of_each(d).collect())
+    assert got == Counter([(None, "a"), (7, "b"), (7, "c")])
