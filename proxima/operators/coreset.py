@@ -22,11 +22,21 @@ def repaired_weights(df: DataFrame, weight: str = "w") -> DataFrame:
     return df.crossJoin(F.broadcast(total)).withColumn(weight, F.when(F.col("__t") > 0, F.abs(weight)).otherwise(1.0)).drop("__t")
 
 
+def _centre_list(centres: DataFrame, *by: str) -> DataFrame:
+    """One row (per `by`) with all centres; their number is a parameter of the call, and so bounds what is broadcast."""
+    return centres.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("centre", "c"))).alias("__centres"))
+
+
+def _nearest(points: DataFrame) -> DataFrame:
+    """points with __centres: centre and cost in place of it."""
+    best = F.array_min(F.transform("__centres", lambda s: F.struct(squared_distance(F.col("v"), s["c"]).alias("d"), s["centre"].alias("centre"))))
+    return points.withColumn("__m", best).select(*[c for c in points.columns if c != "__centres"], F.col("__m.centre").alias("centre"), F.col("__m.d").alias("cost"))
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """C4: points with centre and cost, the squared distance to it; ties to the least centre. centres(centre, c) has k rows."""
-    d = points.crossJoin(F.broadcast(centres)).withColumn("__d", squared_distance("v", "c"))
-    best = F.min(F.struct("__d", "centre")).alias("m")
-    return d.groupBy(*[c for c in points.columns]).agg(best).select(*points.columns, F.col("m.centre").alias("centre"), F.col("m.__d").alias("cost"))
+    """C4: points with centre and cost, the squared distance to it; ties to the least centre. centres(centre, c) has k rows, which
+    every row meets where it is: nothing is shuffled, and repeated rows stay. Without centres both columns are null."""
+    return _nearest(points.crossJoin(F.broadcast(_centre_list(centres))))
 
 
 def kmeans_cost(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -47,7 +57,7 @@ def lloyd(points: DataFrame, centres: DataFrame, rounds: int, weight: str | None
     for _ in range(rounds):
         a = nearest_centre(points, now).select("centre", w.alias("w"), F.posexplode("v").alias("dim", "x"))
         mean = weighted_mean(a, ["centre", "dim"], "x", "w").groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("m"))
-        now = cut(start.join(mean, "centre", "left").select("centre", F.coalesce("m", "c").alias("c")))
+        now = cut(start.join(mean, "centre", "left").select("centre", F.coalesce("m", "c").alias("c")), *([] if now is start else [now]))
     return now
 
 
@@ -109,12 +119,29 @@ def single_swap(points: DataFrame, k: int, node: str = "node", seed: int = 1, ru
 
 
 def _drawn(costed: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
-    """t draws with replacement per node in proportion to cost * w, by inverting the running sum of hashed order."""
-    order = Window.partitionBy("node").orderBy("id")
-    c = costed.withColumn("m", F.col("cost") * F.col("w"))
-    c = c.withColumns({"hi": F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("m").over(Window.partitionBy("node"))}).withColumn("lo", F.col("hi") - F.col("m"))
+    """t draws with replacement per node in proportion to cost * w, by inverting the running sum in the order of ids.
+
+    Rows are dealt to ranges of (node, id); sums of the ranges tell where a draw falls, and inside a range draws and rows are
+    merged in one sorted pass: a draw takes the last row that begins at or before it. Repeated rows draw apart.
+    """
+    parts = int(costed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    c = costed.withColumn("m", F.col("cost") * F.col("w")).where("m > 0")
+    placed = cut(c.repartitionByRange(parts, "node", "id").withColumn("p", F.spark_partition_id()))
+    order = Window.partitionBy("node").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.groupBy("node", "p").agg(F.sum("m").alias("m")).withColumn("hi", F.sum("m").over(order))
+    ranges = cut(ranges.withColumns({"lo": F.col("hi") - F.col("m"), "all": F.sum("m").over(Window.partitionBy("node"))}))  # as many rows as ranges
     draws = budgets.where("t > 0").select("node", F.explode(F.sequence(F.lit(1), F.col("t").cast("int"))).alias("draw")).withColumn("u", uniform(F.col("node"), F.col("draw"), seed))
-    return c.join(draws, "node").where("u * all >= lo and u * all < hi").groupBy("node", "id", "v", "w", "centre", "cost").agg(F.count("*").alias("times"))
+    at = draws.join(F.broadcast(ranges), "node").where("u * all >= lo and u * all < hi").select("node", "p", (F.col("u") * F.col("all")).alias("at"))
+    inside = Window.partitionBy("node", "p").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    row = F.struct("id", "v", "w", "centre", "cost", F.monotonically_increasing_id().alias("nr")).alias("row")
+    begins = placed.withColumn("upto", F.sum("m").over(inside)).join(F.broadcast(ranges.select("node", "p", "lo")), ["node", "p"]).select("node", "p", (F.col("lo") + F.col("upto") - F.col("m")).alias("at"), row)
+    both = begins.unionByName(at, allowMissingColumns=True)
+    # of what stands at one place rows come first; rounding may put a range's first row just above a draw at its beginning
+    merged = Window.partitionBy("node", "p").orderBy("at", F.col("row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("node", "p").orderBy("at", F.col("row").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    owner = F.coalesce(F.last("row", True).over(merged), F.first("row", True).over(after))
+    taken = both.withColumn("owner", owner).where(F.col("row").isNull()).groupBy("node", "owner").agg(F.count("*").alias("times"))
+    return taken.select("node", *[F.col(f"owner.{c}").alias(c) for c in ("id", "v", "w", "centre", "cost")], "times")
 
 
 def distributed_coreset(points: DataFrame, centres: DataFrame, t: int, seed: int = 1) -> DataFrame:
@@ -124,8 +151,7 @@ def distributed_coreset(points: DataFrame, centres: DataFrame, t: int, seed: int
     are. A draw weighs (cost / t) / (own cost + 1e-5 * mean cost); a centre weighs its cluster's mass less that of its draws,
     which can be below zero. With centres, the weights of a node add up to its mass.
     """
-    d = points.join(F.broadcast(centres), "node").withColumn("__d", squared_distance("v", "c"))
-    costed = cut(d.groupBy("id", "v", "w", "node").agg(F.min(F.struct("__d", "centre")).alias("m")).select("node", "id", "v", "w", F.col("m.centre").alias("centre"), F.col("m.__d").alias("cost")))
+    costed = cut(_nearest(points.join(F.broadcast(_centre_list(centres, "node")), "node")).select("node", "id", "v", "w", "centre", "cost"))
     local = costed.groupBy("node").agg(F.sum(F.col("cost") * F.col("w")).alias("local"), F.count("*").alias("n"), F.sum("w").alias("mass"))
     total = local.agg(F.sum("local").alias("total"), (F.sum("local") / F.sum("n")).alias("mean"))
     budgets = cut(local.crossJoin(F.broadcast(total)).withColumn("t", F.when(F.col("total") > 0, F.ceil(F.col("local") / F.col("total") * t)).otherwise(0)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .similarity import knn, snn
+from .state import cut
 
 
 def _over(c: Column, limit, strict: bool) -> Column:
@@ -43,8 +44,6 @@ def one_hop(core: DataFrame, links: DataFrame) -> DataFrame:
 
     A point begins a cluster unless a smaller beginner is its neighbour; rounds settle points whose smaller neighbours are settled.
     """
-    from .state import cut
-
     links = cut(links.select("i", "j"))
     state = cut(core.select("id", F.lit(None).cast("long").alias("cluster")))
     while True:
@@ -52,7 +51,7 @@ def one_hop(core: DataFrame, links: DataFrame) -> DataFrame:
         seen = lower.groupBy(F.col("i").alias("id")).agg(F.min(F.when(F.col("cluster") == F.col("j"), F.col("j"))).alias("seed"), F.max(F.col("cluster").isNull()).alias("wait"), F.min(F.when(F.col("cluster").isNull(), F.col("j"))).alias("open"))
         # the least beginner among the neighbours takes the point; a smaller neighbour that is open could still be one
         taken = F.when(F.col("cluster").isNotNull(), F.col("cluster")).when(F.col("seed").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("seed"))), F.col("seed")).when(F.col("seed").isNull() & ~F.coalesce("wait", F.lit(False)), F.col("id"))
-        state = cut(state.join(seen, "id", "left").select("id", taken.alias("cluster")))
+        state = cut(state.join(seen, "id", "left").select("id", taken.alias("cluster")), state)
         if not state.where("cluster is null").limit(1).count():
             return state
 
@@ -77,8 +76,6 @@ def snn_clusters(points: DataFrame, snn_: DataFrame, eps, minpts: int, strict: b
 
 def cluster_points(points: DataFrame, k: int, eps, minpts: int, measure: str = "cosine", strict: bool = False) -> DataFrame:
     """From vectors to clusters."""
-    from .state import cut
-
     return snn_clusters(points, cut(snn(knn(points, k, measure))), eps, minpts, strict)
 
 
@@ -96,8 +93,6 @@ def range_pairs(points: DataFrame, eps: float, dims: list[str]) -> DataFrame:
 
 def dbscan(points: DataFrame, eps: float, minpts: int, dims: list[str]) -> DataFrame:
     """Classic DBSCAN; a point is its own neighbour; border points go to the least cluster in reach."""
-    from .state import cut
-
     pairs = cut(range_pairs(points, eps, dims))
     counts = pairs.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n"))
     core = points.select("id").join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= minpts).select("id")

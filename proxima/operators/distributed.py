@@ -12,20 +12,37 @@ from .similarity import block_join, knn, snn, top_k
 from .state import cut
 
 
+def _least_hashes(df: DataFrame, by: list[str], share: float, seed: int, id_col: str) -> DataFrame:
+    """The ceil(share * n) rows of every stratum with the least (hash, id), with __n, the stratum's size.
+
+    A histogram of the hashes, with bins of some thousand rows, tells the bin in which a stratum's quota ends; rows below it are
+    in, and only that bin's rows are ranked: no task gets all of a large stratum.
+    """
+    bins = max(1, -(-df.count() // 4096))
+    free = lambda c: c if c not in df.columns else free(f"_{c}")
+    u, k, end, open_, n = (free(c) for c in ("__u", "__k", "__end", "__open", "__n"))
+    drawn = df.withColumn(u, uniform(F.col(id_col), seed)).withColumn(k, F.floor(F.col(u) * bins))
+    per = drawn.groupBy(*by, k).agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*by).orderBy(k).rowsBetween(Window.unboundedPreceding, 0))
+    quota = per.withColumn("upto", upto).withColumn(n, F.sum("rows").over(Window.partitionBy(*by))).withColumn("quota", F.ceil(share * F.col(n)))
+    ends = quota.where("upto >= quota").groupBy(*by, n).agg(F.min(F.struct(F.col(k).alias("k"), (F.col("quota") - F.col("upto") + F.col("rows")).alias("rest"))).alias("e")).select(*by, n, F.col("e.k").alias(end), F.col("e.rest").alias(open_))
+    same = [f"__by{i}" for i in range(len(by))]
+    at = drawn.join(ends.select(*[F.col(c).alias(s) for c, s in zip(by, same)], n, end, open_), [F.col(c).eqNullSafe(F.col(s)) for c, s in zip(by, same)])
+    rank = F.row_number().over(Window.partitionBy(*by, k).orderBy(u, id_col))
+    last = at.where(F.col(k) == F.col(end)).withColumn("__r", rank).where(F.col("__r") <= F.col(open_)).drop("__r")
+    return at.where(F.col(k) < F.col(end)).unionByName(last).drop(u, k, end, open_, *same)
+
+
 def stratified_sample(df: DataFrame, by: list[str], share: float, seed: int = 1, id_col: str = "id") -> DataFrame:
     """ceil(share * n) rows of every stratum, without replacement, those with the least hashes."""
-    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(uniform(F.col(id_col), seed), id_col))
-    return df.withColumn("__r", rank).join(n, by).where(F.col("__r") <= F.ceil(share * F.col("__n"))).drop("__r", "__n")
+    return _least_hashes(df, by, share, seed, id_col).select(*df.columns)
 
 
 def inverse_size_sample(df: DataFrame, node: str, cluster: str, share: float, seed: int = 1, id_col: str = "id") -> DataFrame:
     """ceil(share * n) rows per (node, cluster), with weight ((1 - n_cluster / n_node) / 2) / n_cluster, zero for a lone cluster."""
-    nc = df.groupBy(node, cluster).agg(F.count("*").alias("__nc"))
     nn = df.groupBy(node).agg(F.count("*").alias("__nn"))
-    rank = F.row_number().over(Window.partitionBy(node, cluster).orderBy(uniform(F.col(id_col), seed), id_col))
-    s = df.withColumn("__r", rank).join(nc, [node, cluster]).join(nn, node).where(F.col("__r") <= F.ceil(share * F.col("__nc")))
-    return s.withColumn("weight", (1 - F.col("__nc") / F.col("__nn")) / 2 / F.col("__nc")).drop("__r", "__nc", "__nn")
+    s = _least_hashes(df, [node, cluster], share, seed, id_col).join(nn, node)
+    return s.withColumn("weight", (1 - F.col("__n") / F.col("__nn")) / 2 / F.col("__n")).select(*df.columns, "weight")
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, seed: int = 1, id_col: str = "id") -> DataFrame:
@@ -72,15 +89,15 @@ def core_votes(points: DataFrame, cores: DataFrame, k: int = 3, measure: str = "
 def path_votes(links: DataFrame, cores: DataFrame, k: int) -> DataFrame:
     """(id, cluster, dist) of the core nearest by paths over links(i, j, w) of length k - w; ties to the least cluster."""
     edges = cut(links.select("i", "j", (F.lit(k) - F.col("w")).cast("double").alias("d")))
-    state = moved = cores.select("id", "cluster", F.lit(0.0).alias("dist"))
+    state, moved = cores.select("id", "cluster", F.lit(0.0).alias("dist")), cores.select("id", "cluster", F.lit(0.0).alias("dist"))
     while True:
         offers = moved.join(edges, moved["id"] == edges["i"]).select(F.col("j").alias("id"), F.struct((F.col("dist") + F.col("d")).alias("dist"), F.col("cluster").alias("cluster")).alias("o"))
         best = offers.groupBy("id").agg(F.min("o").alias("o")).select("id", "o.cluster", "o.dist")
         had = state.select("id", F.struct("dist", "cluster").alias("had"))
-        moved = cut(best.join(had, "id", "left").where(F.col("had").isNull() | (F.struct("dist", "cluster") < F.col("had"))).drop("had"))
+        moved = cut(best.join(had, "id", "left").where(F.col("had").isNull() | (F.struct("dist", "cluster") < F.col("had"))).drop("had"), moved)
         if not moved.limit(1).count():
             return state
-        state = cut(state.join(moved.select("id"), "id", "left_anti").unionByName(moved))
+        state = cut(state.join(moved.select("id"), "id", "left_anti").unionByName(moved), state)
 
 
 def two_phase(points: DataFrame, k: int, eps: int, minpts: int, share: float, central_k: int = 50, cut_point: int = 5, voters: int = 3, rounds: int | None = 5, measure: str = "cosine", seed: int = 1) -> DataFrame:

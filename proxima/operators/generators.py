@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import normal, uniform
+from .ranks import ranked
 
 TAU = 6.283185307179586
 
@@ -58,5 +59,5 @@ def report(df: DataFrame, style: str = "markdown") -> DataFrame:
     """(row, line) of a result table, values to four decimals; row 0 is the head. Rows are in the order of the first column."""
     left, mid, right = {"markdown": ("| ", " | ", " |"), "latex": ("", " & ", r" \\")}[style]
     shown = [F.when(F.col(f"`{f.name}`").isNotNull(), F.format_string("%.4f", F.col(f"`{f.name}`").cast("double"))) if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`").cast("string") for f in df.schema]
-    body = df.select(F.row_number().over(Window.orderBy(df.columns[0])).alias("row"), F.concat(F.lit(left), F.concat_ws(mid, *[F.coalesce(c, F.lit("")) for c in shown]), F.lit(right)).alias("line"))
+    body = ranked(df.select(F.col(f"`{df.columns[0]}`").alias("first"), F.concat(F.lit(left), F.concat_ws(mid, *[F.coalesce(c, F.lit("")) for c in shown]), F.lit(right)).alias("line")), ["first", "line"], "row").select(F.col("row").cast("int").alias("row"), "line")
     return df.sparkSession.createDataFrame([(0, left + mid.join(df.columns) + right)], "row int, line string").unionByName(body)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from .ranks import ranked
 from .state import cut
 
 
@@ -26,21 +27,36 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
-def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, cluster), the least id connected to each of vertices(id) over links(i, j), both directions present.
+def _to_least(edges: DataFrame) -> DataFrame:
+    """(a, b) in both directions: every larger neighbour of a node goes to the least node that it knows, as (larger, least)."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return edges.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
 
-    Labels hop along links and then along labels, so rounds grow with the logarithm of a component's diameter.
+def stars(links: DataFrame) -> DataFrame:
+    """links(a, b) of orderable ids: (id, component) with the least id of the component, for every id in a link.
+
+    Alternating star operations: the larger neighbours of a node are linked to the least that it knows, then its smaller
+    ones are; rounds grow with the logarithm of the longest path, in whatever order its ids are. Minima are pre-aggregated and
+    a round's tables replace those of the one before.
     """
-    links = cut(links.select("i", "j"))
-    state = cut(vertices.select("id", F.col("id").alias("cluster")))
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
     while True:
-        near = links.join(state.select(F.col("id").alias("j"), "cluster"), "j").groupBy(F.col("i").alias("id")).agg(F.min("cluster").alias("near"))
-        hopped = cut(state.join(near, "id", "left").select("id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster")))
-        jump = hopped.select(F.col("id").alias("at"), F.col("cluster").alias("further"))
-        state = cut(hopped.join(jump, hopped["cluster"] == jump["at"], "left").select("id", "old", F.least("cluster", F.coalesce("further", "cluster")).alias("cluster")))
-        if not state.where("old <> cluster").limit(1).count():
-            return state.select("id", "cluster")
-        state = state.select("id", "cluster")
+        large = cut(_to_least(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = cut(small.distinct(), edges, large)  # (larger, smaller)
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        before = state
+
+
+def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cluster), the least id connected to each of vertices(id) over links(i, j); vertices without links are their own."""
+    parts = stars(links.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    return vertices.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 def connected(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -63,15 +79,13 @@ def bfs(edges: DataFrame, start: int, target: int | None = None) -> DataFrame:
         found = frontier.join(edges, frontier["id"] == edges["src"]).join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         first = found.groupBy("dst").agg(F.min_by(F.struct(F.col("src"), F.col("visit"), F.col("w")), F.struct("visit", -F.col("w"))).alias("m"))
         new = first.select(F.col("dst").alias("id"), F.lit(level).cast("long").alias("hops"), F.col("m.src").alias("parent"), F.struct(F.col("m.visit"), -F.col("m.w"), F.col("dst")).alias("o"))
-        from .ranks import ranked
-
-        frontier = ranked(new, ["o"], "r").select("id", "hops", "parent", (F.col("r") + n).alias("visit"))
-        frontier = cut(frontier)
+        old, frontier = frontier, ranked(new, ["o"], "r").select("id", "hops", "parent", (F.col("r") + n).alias("visit"))
+        frontier = cut(frontier, old)
         got = frontier.count()
         if not got:
             return seen
         n += got
-        seen = cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier), seen)
 
 
 def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
@@ -82,10 +96,10 @@ def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
     while True:
         offers = moved.join(edges, moved["id"] == edges["src"]).select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("prev"))
         best = offers.groupBy("id").agg(F.min(F.struct("dist", "prev")).alias("m")).select("id", "m.dist", "m.prev")
-        moved = cut(best.join(state.select("id", F.col("dist").alias("had")), "id", "left").where("had is null or dist < had").drop("had"))
+        moved = cut(best.join(state.select("id", F.col("dist").alias("had")), "id", "left").where("had is null or dist < had").drop("had"), moved)
         if not moved.limit(1).count():
             return state
-        state = cut(state.join(moved.select("id"), "id", "left_anti").unionByName(moved))
+        state = cut(state.join(moved.select("id"), "id", "left_anti").unionByName(moved), state)
 
 
 def label_propagation(vertices: DataFrame, links: DataFrame, rounds: int = 5) -> DataFrame:
@@ -95,7 +109,7 @@ def label_propagation(vertices: DataFrame, links: DataFrame, rounds: int = 5) ->
     for _ in range(rounds):
         votes = links.join(state.select(F.col("id").alias("j"), "cluster"), "j").groupBy(F.col("i").alias("id"), "cluster").agg(F.count("*").alias("n"))
         top = votes.groupBy("id").agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("voted"))
-        state = cut(state.join(top, "id", "left").select("id", F.coalesce("voted", "cluster").alias("cluster")))
+        state = cut(state.join(top, "id", "left").select("id", F.coalesce("voted", "cluster").alias("cluster")), state)
     return state
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .similarity import top_k
 
 
@@ -68,28 +71,30 @@ def nmi(pairs: DataFrame) -> DataFrame:
     return information(pairs).select(F.when(a == 0, 1.0).otherwise(F.col("mi") / a).alias("nmi_arithmetic"), F.when(g == 0, F.when(a == 0, 1.0).otherwise(0.0)).otherwise(F.col("mi") / g).alias("nmi_geometric"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n! of whole numbers: products below 16, Stirling's series from there on (its error is below 1e-15)."""
+    few, x = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n < 16, F.element_at(few, n.cast("int") + 1)).otherwise(series)
+
+
 def expected_information(pairs: DataFrame) -> DataFrame:
-    """One row (emi) under the hypergeometric model. Margins are grouped by size first; log factorials come from a running
-    sum over 1..N, cut into ranges so that no task sums all of them."""
+    """One row (emi) under the hypergeometric model.
+
+    Clusters are grouped by size first, which leaves fewer than sqrt(2 N) sizes on either side. Of the counts that two sizes may
+    share, those further than 8 sqrt(min(a, b)) from the mean are left out: by Hoeffding's bound their share is below 1e-54.
+    """
     c = contingency(pairs)
     a = c.groupBy("pred").agg(F.sum("n").alias("a")).groupBy("a").agg(F.count("*").alias("ka"))
     b = c.groupBy("truth").agg(F.sum("n").alias("b")).groupBy("b").agg(F.count("*").alias("kb"))
     total = int(c.agg(F.sum("n")).first()[0] or 0)
-    spark = pairs.sparkSession
-    step = 65536
-    ids = spark.range(total + 1).select("id", F.floor(F.col("id") / step).alias("r"), F.when(F.col("id") > 0, F.log("id")).otherwise(0.0).alias("l"))
-    before = ids.groupBy("r").agg(F.sum("l").alias("l")).select("r", F.coalesce(F.sum("l").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("b"))
-    lf = ids.join(before, "r").select(F.col("id").alias("k"), (F.col("b") + F.sum("l").over(Window.partitionBy("r").orderBy("id"))).alias("lf"))
-
-    def with_lf(df: DataFrame, key, name: str) -> DataFrame:
-        return df.withColumn("__k", key).join(lf.select(F.col("k").alias("__k"), F.col("lf").alias(name)), "__k").drop("__k")
-
-    n = F.lit(total)
-    cells = a.crossJoin(F.broadcast(b)).withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") + F.col("b") - n).cast("long"), F.least("a", "b"))))
-    for key, name in ((F.col("a"), "la"), (F.col("b"), "lb"), (n - F.col("a"), "lna"), (n - F.col("b"), "lnb"), (F.col("n"), "ln"), (F.col("a") - F.col("n"), "lan"), (F.col("b") - F.col("n"), "lbn"), (n - F.col("a") - F.col("b") + F.col("n"), "lr"), (n, "lall")):
-        cells = with_lf(cells, key.cast("long"), name)
-    p = F.exp(F.col("la") + F.col("lb") + F.col("lna") + F.col("lnb") - F.col("lall") - F.col("ln") - F.col("lan") - F.col("lbn") - F.col("lr"))
-    return cells.agg(F.coalesce(F.sum(F.col("ka") * F.col("kb") * F.col("n") / n * F.log(n * F.col("n") / (F.col("a") * F.col("b"))) * p), F.lit(0.0)).alias("emi"))
+    n = F.lit(total).cast("long")
+    mean, reach = F.col("a") * F.col("b") / F.greatest(n, F.lit(1)), 8 * F.sqrt(F.least("a", "b")) + 1
+    low, high = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - n, F.floor(mean - reach)), F.least(F.col("a"), F.col("b"), F.ceil(mean + reach))
+    cells = a.crossJoin(b).withColumns({"low": low, "high": high}).where("low <= high").withColumn("n", F.explode(F.sequence("low", "high")))
+    lf = lambda x: _log_factorial(x if isinstance(x, Column) else F.col(x))
+    p = F.exp(lf("a") + lf("b") + lf(n - F.col("a")) + lf(n - F.col("b")) - lf(n) - lf("n") - lf(F.col("a") - F.col("n")) - lf(F.col("b") - F.col("n")) - lf(n - F.col("a") - F.col("b") + F.col("n")))
+    return cells.agg(F.coalesce(F.sum(F.col("ka") * F.col("kb") * F.col("n") / n * F.log(n.cast("double") * F.col("n") / (F.col("a").cast("double") * F.col("b"))) * p), F.lit(0.0)).alias("emi"))
 
 
 def ami(pairs: DataFrame) -> DataFrame:
@@ -123,16 +128,19 @@ def snn_distance_or(snn_: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 
 def silhouette(labels: DataFrame, distances: DataFrame, missing: float) -> DataFrame:
     """M8: one row (silhouette): mean over points. distances(i, j, d) lists what is nearer than `missing`, the distance of all
-    other pairs, so sums are completed from cluster sizes and no absent pair is built. NaN for a single cluster or a lone point."""
+    other pairs, so no absent pair is built: a cluster that a point has no listed pair with is at `missing`, whichever it is.
+    NaN for a single cluster or a lone point."""
     size = labels.groupBy("cluster").agg(F.count("*").alias("size"))
+    others = F.col("size") - F.when(F.col("cluster") == F.col("own"), 1).otherwise(0)
     near = distances.join(labels.select(F.col("id").alias("j"), "cluster"), "j").groupBy(F.col("i").alias("id"), "cluster").agg(F.sum("d").alias("sum"), F.count("*").alias("n"))
     own = labels.select("id", F.col("cluster").alias("own"))
-    all_ = own.crossJoin(F.broadcast(size)).join(near, ["id", "cluster"], "left")  # points x clusters
-    others = F.col("size") - F.when(F.col("cluster") == F.col("own"), 1).otherwise(0)
-    mean = (F.coalesce("sum", F.lit(0.0)) + missing * (others - F.coalesce("n", F.lit(0)))) / others
-    per = all_.withColumn("mean", mean).groupBy("id").agg(F.max(F.when(F.col("cluster") == F.col("own"), F.coalesce("mean", F.lit(float("nan"))))).alias("a"), F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean"))).alias("b"))
-    s = F.when(F.col("b").isNull(), float("nan")).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(s).alias("silhouette"))
+    mean = (F.col("sum") + missing * (others - F.col("n"))) / others
+    met = near.join(own, "id").join(size, "cluster").withColumn("mean", mean).groupBy("id").agg(F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean"))).alias("b"), F.sum(F.when(F.col("cluster") != F.col("own"), 1).otherwise(0)).alias("met"))
+    per = own.join(met, "id", "left").join(size.withColumnRenamed("cluster", "own"), "own").crossJoin(F.broadcast(size.agg(F.count("*").alias("clusters"))))
+    a = F.when(F.col("size") == 1, float("nan")).otherwise(F.coalesce("a", F.lit(float(missing))))
+    b = F.least(F.col("b"), F.when(F.coalesce("met", F.lit(0)) < F.col("clusters") - 1, F.lit(float(missing))))
+    s = per.select(a.alias("a"), b.alias("b")).select(F.when(F.col("b").isNull(), float("nan")).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    return s.agg(F.avg("s").alias("silhouette"))
 
 
 def cvnn(labels: DataFrame, distances: DataFrame, missing: float, k: int = 10) -> DataFrame:
@@ -184,5 +192,6 @@ def quartiles(runs: DataFrame, by: list[str], value: str) -> DataFrame:
 def encode_labels(df: DataFrame, order: str, label: str) -> DataFrame:
     """Df with code, 1..C by first appearance in `order`."""
     firsts = df.groupBy(label).agg(F.min(order).alias("__first"))
-    codes = firsts.select(label, F.dense_rank().over(Window.orderBy("__first")).alias("code"))
-    return df.join(codes, label)
+    # labels that begin at one place share a code: the places are ranked
+    codes = ranked(firsts.select("__first").distinct(), ["__first"], "code")
+    return df.join(firsts.join(codes, "__first").select(label, F.col("code").cast("int").alias("code")), label)
