@@ -33,10 +33,15 @@ def _nearest(points: DataFrame) -> DataFrame:
     return points.withColumn("__m", best).select(*[c for c in points.columns if c != "__centres"], F.col("__m.centre").alias("centre"), F.col("__m.d").alias("cost"))
 
 
+def _keys(centres: DataFrame) -> list[str]:
+    return [c for c in centres.columns if c not in ("centre", "c")]
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     """C4: points with centre and cost, the squared distance to it; ties to the least centre. centres(centre, c) has k rows, which
-    every row meets where it is: nothing is shuffled, and repeated rows stay. Without centres both columns are null."""
-    return _nearest(points.crossJoin(F.broadcast(_centre_list(centres))))
+    every row meets where it is: nothing is shuffled, and repeated rows stay. Without centres both columns are null. Centres
+    with further columns, such as a seed, are sets of centres: each point has a row for each set."""
+    return _nearest(points.crossJoin(F.broadcast(_centre_list(centres, *_keys(centres)))))
 
 
 def kmeans_cost(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -51,45 +56,50 @@ def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str) -> Data
 
 
 def lloyd(points: DataFrame, centres: DataFrame, rounds: int, weight: str | None = None) -> DataFrame:
-    """centres(centre, c) after so many rounds; an empty cluster returns to its first centre."""
+    """centres(centre, c) after so many rounds; an empty cluster returns to its first centre. Sets of centres move side by side."""
     start = now = centres
-    w = F.col(weight) if weight else F.lit(1.0)
+    w, by = F.col(weight) if weight else F.lit(1.0), [*_keys(centres), "centre"]
     for _ in range(rounds):
-        a = nearest_centre(points, now).select("centre", w.alias("w"), F.posexplode("v").alias("dim", "x"))
-        mean = weighted_mean(a, ["centre", "dim"], "x", "w").groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("m"))
-        now = cut(start.join(mean, "centre", "left").select("centre", F.coalesce("m", "c").alias("c")), *([] if now is start else [now]))
+        a = nearest_centre(points, now).select(*by, w.alias("w"), F.posexplode("v").alias("dim", "x"))
+        mean = weighted_mean(a, [*by, "dim"], "x", "w").groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("m"))
+        now = cut(start.join(mean, by, "left").select(*by, F.coalesce("m", "c").alias("c")), *([] if now is start else [now]))
     return now
 
 
-def kmeans_pp(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """centres(centre, c) from k draws with probability in proportion to weight * squared distance. points(id, v, w)."""
-    first = points.withColumn("__k", -F.log(1 - uniform(F.col("id"), seed, 0)) / F.col("w")).where("w > 0").orderBy("__k", "id").limit(1)
-    centres = cut(first.select(F.lit(1).alias("centre"), F.col("v").alias("c")))
+def seeded(points: DataFrame, k: int, seeds: list[int]) -> DataFrame:
+    """For every seed k centres(seed, centre, c), drawn in turn with probability in proportion to weight * squared distance to
+    those before; all seeds draw in the same pass. points(id, v, w)."""
+    key = lambda n, mass: F.struct((-F.log(1 - uniform(F.col("id"), F.col("seed"), n)) / mass).alias("k"), "id", "v")
+    drawn = lambda df, n, mass: df.groupBy("seed").agg(F.min(key(n, mass)).alias("m")).select("seed", F.lit(n or 1).alias("centre"), F.col("m.v").alias("c"))
+    each = points.where("w > 0").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    centres = cut(drawn(each, 0, F.col("w")))
     for n in range(2, k + 1):
-        cost = nearest_centre(points, centres).where("cost * w > 0").withColumn("__k", -F.log(1 - uniform(F.col("id"), seed, n)) / (F.col("cost") * F.col("w")))
-        new = cost.orderBy("__k", "id").limit(1).select(F.lit(n).alias("centre"), F.col("v").alias("c"))
-        centres = cut(centres.unionByName(new))
+        cost = nearest_centre(points, centres).where("cost * w > 0")
+        centres = cut(centres.unionByName(drawn(cost, n, F.col("cost") * F.col("w"))), centres)
     return centres
 
 
+def kmeans_pp(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """centres(centre, c) of one seed."""
+    return seeded(points, k, [seed]).drop("seed")
+
+
 def best_lloyd(points: DataFrame, k: int, rounds: int = 10, runs: int = 10, seed: int = 1) -> DataFrame:
-    """The cheapest of several runs from C1 seeds."""
-    best = None
-    for run in range(runs):
-        c = lloyd(points, kmeans_pp(points, k, seed + run), rounds, "w")
-        cost = nearest_centre(points, c).agg(F.sum(F.col("cost") * F.col("w"))).first()[0]
-        if best is None or cost < best[0]:
-            best = (cost, c)
-    return best[1]
+    """The cheapest of several runs from C1 seeds, ties to the least seed; the runs share every pass."""
+    ends = lloyd(points, seeded(points, k, list(range(seed, seed + runs))), rounds, "w")
+    costs = nearest_centre(points, ends).groupBy("seed").agg(F.sum(F.col("cost") * F.col("w")).alias("cost"))
+    best = costs.orderBy("cost", "seed").limit(1).select("seed")
+    return cut(ends.join(F.broadcast(best), "seed").drop("seed"), ends)
+
 
+def _swap(x: np.ndarray, w: np.ndarray, starts: np.ndarray, k: int, swaps: int) -> np.ndarray:
+    """Indices of k centres by single-swap local search: exchanges that save one per cent or more, until none is found.
 
-def _swap(x: np.ndarray, w: np.ndarray, k: int, seed: int, runs: int, swaps: int) -> np.ndarray:
-    """Indices of k centres by single-swap local search: exchanges that save one per cent or more, until none is found."""
-    best = (np.inf, None)
+    starts: a row of draws per run; a run begins with the points of its least draws."""
+    best = (np.inf, np.zeros(0, int))
     d = np.maximum(((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T), 0)
-    for run in range(runs):
-        r = np.random.default_rng(seed + run)
-        own = r.choice(len(x), min(k, len(x)), replace=False)
+    for draws in starts:
+        own = np.argsort(draws, kind="stable")[:k].copy()
         cost = float((d[:, own].min(1) * w).sum())
         for _ in range(swaps):
             save = None
@@ -104,18 +114,19 @@ def _swap(x: np.ndarray, w: np.ndarray, k: int, seed: int, runs: int, swaps: int
                 break
             cost, own[save[1]] = save[0], save[2]
         if cost < best[0]:
-            best = (cost, own.copy())
+            best = (cost, own)
     return best[1]
 
 
 def single_swap(points: DataFrame, k: int, node: str = "node", seed: int = 1, runs: int = 3, swaps: int = 50) -> DataFrame:
     """(node, centre, c) by local search inside every node, whose points must fit one task; all pairs of a node are held."""
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        own = _swap(np.stack(pdf["v"].to_numpy()), pdf["w"].to_numpy(), k, seed, runs, swaps)
+        pdf = pdf.sort_values("id", kind="stable")
+        own = _swap(np.stack(pdf["v"].to_numpy()), pdf["w"].to_numpy(), np.stack(pdf["u"].to_numpy()).T, k, swaps)
         return pd.DataFrame({"node": pdf["node"].iloc[0], "centre": np.arange(1, len(own) + 1), "c": [pdf["v"].iloc[i].tolist() for i in own]})
 
-    return points.select(F.col(node).cast("int").alias("node"), "id", "v", "w").groupBy("node").applyInPandas(search, "node int, centre int, c array<double>")
+    draws = F.array(*[uniform(F.col("id"), seed + run, "swap") for run in range(runs)])
+    return points.select(F.col(node).cast("int").alias("node"), "id", "v", "w", draws.alias("u")).groupBy("node").applyInPandas(search, "node int, centre int, c array<double>")
 
 
 def _drawn(costed: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:

@@ -9,17 +9,18 @@ from ..functions.hashing import normal, uniform
 from .ranks import ranked
 
 TAU = 6.283185307179586
+#: Centre and spread of the five Gaussian groups of R1, by label.
+SHAPES = {1: (0.0, 0.0, 1.2, 1.2), 2: (8.0, 1.5, 1.4, 0.4), 3: (8.0, -1.5, 1.4, 0.4), 4: (3.5, 6.0, 0.5, 0.5), 5: (6.0, 6.0, 0.5, 0.5)}
 
 
 def cure(spark: SparkSession, per: int = 2000, seed: int = 1) -> DataFrame:
     """(id, x, y, label): five Gaussian groups, a uniform bridge (6) and uniform noise (7), `per` points of each."""
     i = spark.range(7 * per).withColumn("label", (F.floor(F.col("id") / per) + 1).cast("int"))
-    #: centre and spread of the Gaussian groups
-    shapes = {1: (0.0, 0.0, 1.2, 1.2), 2: (8.0, 1.5, 1.4, 0.4), 3: (8.0, -1.5, 1.4, 0.4), 4: (3.5, 6.0, 0.5, 0.5), 5: (6.0, 6.0, 0.5, 0.5)}
+
     def coordinate(n: int) -> Column:
         g = normal(F.col("id"), seed, n)
         out = F.when(F.col("label") == 6, (4.0 + 1.5 * uniform(F.col("id"), seed, "u", n)) if n == 0 else 5.9 + 0.2 * uniform(F.col("id"), seed, "u", n))
-        for k, s in shapes.items():
+        for k, s in SHAPES.items():
             out = out.when(F.col("label") == k, s[n] + s[2 + n] * g)
         return out.otherwise((-4.0 + 16.0 * uniform(F.col("id"), seed, "u", n)) if n == 0 else -4.0 + 12.0 * uniform(F.col("id"), seed, "u", n))
     return i.select("id", coordinate(0).alias("x"), coordinate(1).alias("y"), "label")

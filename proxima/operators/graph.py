@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,22 +134,16 @@ def random_graph(spark: SparkSession, n: int, p: float, seed: int = 1) -> DataFr
 
 
 def preferential_graph(spark: SparkSession, n: int, m0: int, m: int, seed: int = 1) -> DataFrame:
-    """Preferential attachment over 1..n nodes of a cluster (few; built on the driver): m0 nodes in full, each later one linked to m."""
-    import random
-
-    r = random.Random(seed)
-    edges = {(a, b) for a in range(1, m0 + 1) for b in range(1, a)}
-    ends = [x for e in edges for x in e] or [1]
+    """Preferential attachment over 1..n nodes of a cluster (few; built on the driver): m0 nodes in full, each later one linked
+    to m earlier ones by degree, without replacement: those with the least -ln(1 - u) / degree, u a hash of both and the seed."""
+    u = lambda *parts: int(md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+    edges = [(a, b) for a in range(1, m0 + 1) for b in range(1, a)]
+    degrees = Counter(x for e in edges for x in e)
     for v in range(m0 + 1, n + 1):
-        to: set[int] = set()
-        while len(to) < min(m, v - 1):
-            to.add(r.choice(ends))
-            if len(set(ends)) < m:
-                to |= set(range(1, min(m, v - 1) + 1))
-        for x in to:
-            edges.add((v, x))
-            ends += [v, x]
-    return undirected(spark.createDataFrame([(a, b, 1.0) for a, b in sorted(edges)], "src long, dst long, w double"))
+        for x in sorted(range(1, v), key=lambda x: (-math.log(1 - u(v, x, seed)) / max(1, degrees[x]), x))[:m]:
+            edges.append((v, x))
+        degrees = Counter(x for e in edges for x in e)
+    return undirected(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, w double"))
 
 
 def grid_graph(spark: SparkSession, n: int) -> DataFrame:

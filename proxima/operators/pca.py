@@ -108,6 +108,18 @@ def explained_variance(components: DataFrame, points: DataFrame) -> DataFrame:
     return components.crossJoin(F.broadcast(total)).select("component", (F.col("eigenvalue") / F.col("all")).alias("share"))
 
 
+def invariants(components: DataFrame, products: DataFrame, least: float = 1e-6) -> DataFrame:
+    """One row (components, variance, falling, orthonormal, eigenvectors) about components(component, eigenvalue, vector) of the matrix
+    products(a, b, g), a <= b: their number, the sum of the eigenvalues, and whether, up to `least`, these fall, the vectors are
+    orthonormal, and the matrix only stretches them."""
+    rows = sorted(components.collect(), key=lambda r: r["component"])  # d vectors of d numbers, as many as the matrix has
+    values, vectors, m = np.array([r["eigenvalue"] for r in rows]), np.array([r["vector"] for r in rows]).T, _matrix(products)
+    falling = bool((np.diff(values) <= least).all())
+    orthonormal = bool(np.abs(vectors.T @ vectors - np.eye(len(rows))).max() < least)
+    stretched = bool(np.abs(m @ vectors - vectors * values).max() < least)
+    return components.sparkSession.createDataFrame([(len(rows), float(values.sum()), falling, orthonormal, stretched)], "components int, variance double, falling boolean, orthonormal boolean, eigenvectors boolean")
+
+
 def affinity(points: DataFrame, sigma: float) -> DataFrame:
     """C14: (i, j, a), a = exp(-d^2 / (2 sigma^2)), i <> j. Pairs whose affinity is 0 in double precision are left out."""
     pairs = block_join(points, points, "neg_sqdist")

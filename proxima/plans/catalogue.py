@@ -6,6 +6,7 @@ Floats are rounded to six decimals; every choice among equals goes to the smalle
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ from ..operators import partition as P
 from ..operators import pca as A
 from ..operators import similarity as K
 from ..operators import tune as H
-from ..operators.state import cut
+from ..operators.ranks import ranked
+from ..operators.state import cut, shared_dir
+from ..sources import cluto as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,13 +70,20 @@ def knn_sql(k: int, sim: str = "sim", name: str = "knn", by: str = "i") -> str:
 SNN = "snn AS (SELECT a.i AS i, b.i AS j, count(*) AS w FROM knn a JOIN knn b ON a.j = b.j AND a.i <> b.i GROUP BY 1, 2)"
 
 
-def clusters_sql(eps: int, minpts: int, op: str = ">=", snn: str = "snn", pts: str = "e", p: str = "") -> str:
+def clusters_sql(eps: int, minpts: int, op: str = ">=", snn: str = "snn", pts: str = "e", p: str = "", one_hop: bool = False) -> str:
+    comp = f"""{p}reach(id, c) AS (SELECT id, id FROM {p}core UNION SELECT l.j, r.c FROM {p}reach r JOIN {p}links l ON l.i = r.id),
+{p}comp AS (SELECT id, min(c) AS cluster FROM {p}reach GROUP BY 1),"""
+    if one_hop:
+        comp = f"""{p}lower AS (SELECT i, list(j) AS js FROM {p}links WHERE j < i GROUP BY 1),
+{p}oc AS (SELECT c.id, row_number() OVER (ORDER BY c.id) AS k, coalesce(l.js, []::BIGINT[]) AS js FROM {p}core c LEFT JOIN {p}lower l ON l.i = c.id),
+{p}run(k, begun) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT r.k + 1, CASE WHEN len(list_intersect(begun, js)) > 0 THEN begun ELSE list_append(begun, o.id) END FROM {p}run r JOIN {p}oc o ON o.k = r.k + 1),
+{p}fin AS (SELECT begun FROM {p}run ORDER BY k DESC LIMIT 1),
+{p}comp AS (SELECT o.id, CASE WHEN list_contains(begun, o.id) THEN o.id ELSE list_min(list_intersect(begun, js)) END AS cluster FROM {p}oc o, {p}fin),"""
     return f"""
 {p}dens AS (SELECT {pts}.id, count(n.i) AS density FROM {pts} LEFT JOIN {snn} n ON n.i = {pts}.id AND n.w {op} {eps} GROUP BY 1),
 {p}core AS (SELECT id FROM {p}dens WHERE density {op} {minpts}),
 {p}links AS (SELECT i, j FROM {snn} WHERE w {op} {eps} AND i IN (SELECT id FROM {p}core) AND j IN (SELECT id FROM {p}core)),
-{p}reach(id, c) AS (SELECT id, id FROM {p}core UNION SELECT l.j, r.c FROM {p}reach r JOIN {p}links l ON l.i = r.id),
-{p}comp AS (SELECT id, min(c) AS cluster FROM {p}reach GROUP BY 1),
+{comp}
 {p}border AS (SELECT i AS id, cluster FROM (SELECT n.i, c.cluster, row_number() OVER (PARTITION BY n.i ORDER BY n.w DESC, n.j) AS r FROM {snn} n JOIN {p}comp c ON c.id = n.j WHERE n.w {op} {eps}) WHERE r = 1),
 {p}assign AS (SELECT {pts}.id, coalesce(c.cluster, b.cluster, -1) AS cluster, CASE WHEN c.id IS NOT NULL THEN 'core' WHEN b.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind FROM {pts} LEFT JOIN {p}comp c ON c.id = {pts}.id LEFT JOIN {p}border b ON b.id = {pts}.id)"""
 
@@ -186,7 +196,7 @@ def snn_noise(spark, d):
     return p.select("id").join(snn_clusters(spark, d).where("kind <> 'noise'"), "id", "left_anti")
 
 
-@query()
+@query(f"{BASE}, {clusters_sql(5, 4, one_hop=True)} SELECT id, cluster, kind FROM assign")
 def snn_one_hop(spark, d):
     p = emb(spark, d)
     return D.snn_clusters(p, cut(snn20(spark, d)), 5, 4, labelling="one_hop")
@@ -208,6 +218,7 @@ def dbscan_parts(spark, d):
 
 
 # ---- H
+ARI_VALUE = "(ij - x * y / al2) / ((x + y) / 2 - x * y / al2)"
 GRID = "grid AS (SELECT * FROM (VALUES (10), (20)) k(k), (VALUES (3), (5)) x(eps), (VALUES (2), (4)) m(minpts))"
 
 
@@ -243,11 +254,57 @@ def snn_cvnn(spark, d):
     return rounded(M.cvnn(lab, M.snn_distance_or(s, lab, 20), 20.0), "compactness", "separation", "cvnn")
 
 
-@query()
-def snn_best_params(spark, d):
+def grid_sql(ks: list[int], eps: list[int], minpts: list[int], least: float) -> str:
+    """Every configuration's scores in a table `grid`; clusters, distances and indices per configuration."""
+    out, rows = f"WITH RECURSIVE {E}, {sim_sql()}, {knn_sql(max(ks))}", []
+    for k in ks:
+        out += f", snn{k} AS (SELECT a.i AS i, b.i AS j, count(*) AS w FROM knn a JOIN knn b ON a.j = b.j AND a.i <> b.i WHERE a.rk <= {k} AND b.rk <= {k} GROUP BY 1, 2)"
+        for x in eps:
+            for m in minpts:
+                p = f"g{k}_{x}_{m}"
+                out += f""", {clusters_sql(x, m, snn=f'snn{k}', p=p)}, {p}lab AS (SELECT id, cluster FROM {p}assign WHERE kind <> 'noise'),
+{p}pd AS (SELECT a.id AS i, a.cluster AS ci, b.id AS j, b.cluster AS cj, {k}.0 - coalesce(s.w, 0) AS d FROM {p}lab a JOIN {p}lab b ON a.id <> b.id LEFT JOIN snn{k} s ON s.i = a.id AND s.j = b.id),
+{p}m AS (SELECT i, ci, cj, avg(d) AS d FROM {p}pd GROUP BY ALL), {p}n AS (SELECT cluster, count(*) AS n FROM {p}lab GROUP BY 1),
+{p}ab AS (SELECT l.id, n.n, min(CASE WHEN cj = l.cluster THEN d END) AS a, min(CASE WHEN cj <> l.cluster THEN d END) AS b FROM {p}lab l JOIN {p}n n ON n.cluster = l.cluster LEFT JOIN {p}m q ON q.i = l.id GROUP BY 1, 2),
+{p}sil AS (SELECT CASE WHEN min(n) = 1 OR count(b) < count(*) THEN NULL ELSE avg((b - a) / greatest(a, b)) END AS sil FROM {p}ab),
+{p}nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM {p}pd WHERE d < {k}) WHERE rk <= 10),
+{p}f AS (SELECT ci, sum(CASE WHEN ci <> cj THEN 1 ELSE 0 END) / 10.0 AS f FROM {p}nn GROUP BY 1),
+{p}co AS (SELECT n.cluster AS ci, n.n, coalesce((SELECT avg(d) FROM {p}pd WHERE ci = n.cluster AND cj = n.cluster), 0) AS comp FROM {p}n n),
+{p}cv AS (SELECT sum(comp) + max(coalesce(f, 0) / n) AS cvnn FROM {p}co LEFT JOIN {p}f ON {p}f.ci = {p}co.ci),
+{p}pairs AS (SELECT l.cluster AS pred, t.label AS truth FROM {p}lab l JOIN embeddings t ON t.vec_id = l.id),
+{p}c AS (SELECT pred, truth, count(*) AS n FROM {p}pairs GROUP BY ALL), {p}p AS (SELECT pred, sum(n) AS np FROM {p}c GROUP BY 1), {p}t AS (SELECT truth, sum(n) AS nt FROM {p}c GROUP BY 1), {p}al AS (SELECT sum(n)::DOUBLE AS al FROM {p}c),
+{p}i AS (SELECT (SELECT sum(n / al * ln(n * al / (np * nt))) FROM {p}c JOIN {p}p USING (pred) JOIN {p}t USING (truth), {p}al) AS mi, (SELECT -sum(np / al * ln(np / al)) FROM {p}p, {p}al) AS hp, (SELECT -sum(nt / al * ln(nt / al)) FROM {p}t, {p}al) AS ht),
+{p}vm AS (SELECT CASE WHEN h + c = 0 THEN 0 ELSE 2 * h * c / (h + c) END AS vm FROM (SELECT CASE WHEN ht = 0 THEN 1 ELSE mi / ht END AS h, CASE WHEN hp = 0 THEN 1 ELSE mi / hp END AS c FROM {p}i)),
+{p}r AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM {p}c) AS ij, (SELECT sum(np * (np - 1) / 2.0) FROM {p}p) AS x, (SELECT sum(nt * (nt - 1) / 2.0) FROM {p}t) AS y, (SELECT al * (al - 1) / 2.0 FROM {p}al) AS al2),
+{p}q AS (SELECT {k} AS k, {x} AS eps, {m} AS minpts, count(*) FILTER (kind = 'core') AS cores, count(*) FILTER (kind <> 'noise') AS assigned, count(*) AS al FROM {p}assign)"""
+                scores = ", ".join(f"CASE WHEN cores > 0 AND assigned >= {least} * al THEN {v} END AS {n}" for n, v in (("silhouette", "sil"), ("cvnn", "cvnn"), ("vm", "vm"), ("ari", f"CASE WHEN (x + y) / 2 = x * y / al2 THEN 1 ELSE {ARI_VALUE} END")))
+                rows.append(f"SELECT k, eps, minpts, cores, assigned, {scores} FROM {p}q, {p}sil, {p}cv, {p}vm, {p}r")
+    return f"{out}, grid AS ({' UNION ALL '.join(rows)})"
+
+
+SCORES = "k, eps, minpts, cores, assigned, round(silhouette, 6) AS silhouette, round(cvnn, 6) AS cvnn, round(vm, 6) AS vm, round(ari, 6) AS ari"
+
+
+def grid(spark, d):
     truth = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
-    grid = H.grid_scores(emb(spark, d), [20], [4, 5], [4], truth=truth, least_assigned=0.2)
-    return rounded(H.best(grid), "silhouette", "cvnn", "vm", "ari")
+    return rounded(H.grid_scores(emb(spark, d), [10, 20], [4, 5], [4], truth=truth, least_assigned=0.2), "silhouette", "cvnn", "vm", "ari")
+
+
+@query(f"{grid_sql([10, 20], [4, 5], [4], 0.2)} SELECT {SCORES} FROM grid")
+def snn_grid_scores(spark, d):
+    return grid(spark, d)
+
+
+@query(f"{grid_sql([10, 20], [4, 5], [4], 0.2)} SELECT {SCORES} FROM grid WHERE silhouette IS NOT NULL ORDER BY round(silhouette, 6) DESC, k, eps, minpts LIMIT 1")
+def snn_best_params(spark, d):
+    """By silhouette, the largest."""
+    return H.best(grid(spark, d))
+
+
+@query(f"{grid_sql([10, 20], [4, 5], [4], 0.2)} SELECT {SCORES} FROM grid WHERE cvnn IS NOT NULL ORDER BY round(cvnn, 6), k, eps, minpts LIMIT 1")
+def snn_least_cvnn(spark, d):
+    """By the index of compactness and separation, the smallest."""
+    return H.best(grid(spark, d), "cvnn", largest=False)
 
 
 # ---- T, K3
@@ -314,7 +371,6 @@ emi AS (SELECT sum(n / al * ln(al::DOUBLE * n / (x::DOUBLE * y)) * exp(a1.lf + a
  JOIN lf a1 ON a1.k = x JOIN lf a2 ON a2.k = y JOIN lf a3 ON a3.k = al - x JOIN lf a4 ON a4.k = al - y JOIN lf a5 ON a5.k = al JOIN lf a6 ON a6.k = n JOIN lf a7 ON a7.k = x - n JOIN lf a8 ON a8.k = y - n JOIN lf a9 ON a9.k = al - x - y + n)"""
 PURITY = "pe AS (SELECT (SELECT sum(m) FROM (SELECT max(n) AS m FROM c GROUP BY pred)) / (SELECT al FROM a) AS purity, (SELECT sum(-n / np * ln(n / np + 1e-10) * np / al) FROM c JOIN p USING (pred), a) / ln((SELECT count(*) FROM t)) AS entropy)"
 ARI = "r AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM c) AS ij, (SELECT sum(np * (np - 1) / 2.0) FROM p) AS x, (SELECT sum(nt * (nt - 1) / 2.0) FROM t) AS y, (SELECT al * (al - 1) / 2.0 FROM a) AS al2)"
-ARI_VALUE = "(ij - x * y / al2) / ((x + y) / 2 - x * y / al2)"
 
 
 def order_pairs(spark, d):
@@ -524,58 +580,76 @@ def core_vote_labels(spark, d):
     return X.core_votes(p, cores, 3)
 
 
-@query()
+@query(f"""{FLAG}, pl AS (SELECT i, j, (20 - w)::DOUBLE AS d FROM snn),
+path(id, dist, cluster) USING KEY (id) AS (SELECT id, 0.0::DOUBLE, cluster FROM comp UNION SELECT o.id, o.o.dist, o.o.cluster FROM
+ (SELECT l.j AS id, min({{'dist': b.dist + l.d, 'cluster': b.cluster}}) AS o FROM path b JOIN pl l ON l.i = b.id GROUP BY 1) o LEFT JOIN recurring.path r ON r.id = o.id WHERE r.id IS NULL OR o.o.dist < r.dist OR (o.o.dist = r.dist AND o.o.cluster < r.cluster))
+SELECT id, cluster, dist FROM path""")
 def core_path_labels(spark, d):
     s = cut(snn20(spark, d))
     cores = D.snn_clusters(emb(spark, d), s, 5, 4).where("kind = 'core'").select("id", "cluster")
     return X.path_votes(s, cut(cores), 20)
 
 
-@query()
+@query(f"""{LOCAL}, ws AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY node, cluster ORDER BY {uniform_sql('id', '1')}, id) AS r, count(*) OVER (PARTITION BY node, cluster) AS nc FROM loc WHERE kind <> 'noise') WHERE r <= ceil(0.5 * nc)),
+s AS (SELECT e.* FROM e JOIN ws ON ws.id = e.id), {sim_sql('s').replace('sim AS', 'ssim AS')}, {knn_sql(10, 'ssim', 'sknn')}, ssnn AS (SELECT a.i AS i, b.i AS j, count(*) AS w FROM sknn a JOIN sknn b ON a.j = b.j AND a.i <> b.i GROUP BY 1, 2), {clusters_sql(3, 3, snn='ssnn', pts='s', p='c')}
+SELECT id, cluster, kind FROM cassign""")
 def two_phase_sample_clusters(spark, d):
     return X.two_phase_snn(node_points(spark, d), 10, 3, 3, 0.5)
 
 
-# ---- G
-HOPS = [(1, 2), (1, 9), (9, 3), (9, 7), (3, 4), (3, 5), (3, 6), (7, 6), (7, 8), (5, 8)]
-PATHS = [(1, 2, 8), (1, 3, 2), (1, 4, 5), (2, 4, 2), (2, 6, 13), (3, 4, 2), (3, 5, 5), (4, 5, 1), (4, 6, 6), (4, 7, 3), (5, 7, 1), (6, 7, 2), (6, 8, 3), (7, 8, 6)]
+@query(f"WITH u AS (SELECT r.seed, (floor({uniform_sql('vec_id', 'r.seed')} * 3) + 1)::INT AS node FROM embeddings, range(1, 4) r(seed)), c AS (SELECT seed, node, count(*) AS n FROM u GROUP BY ALL) SELECT node, avg(n) AS mean, round(stddev_samp(n), 6) AS std FROM c GROUP BY 1")
+def repeated_runs(spark, d):
+    """H6: sizes of random nodes over three seeds."""
+    runs = H.repeated(lambda seed: P.uniform_nodes(emb(spark, d), 3, seed).groupBy("node").agg(F.count("*").alias("n")), [1, 2, 3])
+    return rounded(M.mean_std(runs, ["node"], "n"), "std")
 
 
-def _edges(spark, rows):
-    return G.undirected(spark.createDataFrame([(a, b, float(w)) for a, b, w in rows], "src long, dst long, w double"))
+# ---- G: which nations' customers buy from which nations' suppliers
+NATIONS = "h AS (SELECT c.c_nationkey AS a, s.s_nationkey + 100 AS b, (1 + count(*) % 7)::DOUBLE AS w FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey GROUP BY ALL), ed AS (SELECT a::BIGINT AS src, b::BIGINT AS dst, w FROM h UNION ALL SELECT b, a, w FROM h)"
+START = "(SELECT min(c_nationkey)::BIGINT FROM customer)"
 
 
-def _values(rows) -> str:
-    return f"h(src, dst, w) AS (VALUES {', '.join(f'({a}, {b}, {float(w)})' for a, b, w in rows)}), ed AS (SELECT src, dst, w FROM h UNION ALL SELECT dst, src, w FROM h)"
+def trade(spark, d):
+    o, c, l, s = (table(spark, d, n) for n in ("orders", "customer", "lineitem", "supplier"))
+    all_ = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = all_.groupBy(F.col("c_nationkey").cast("long").alias("src"), (F.col("s_nationkey") + 100).cast("long").alias("dst")).agg((1 + F.count("*") % 7).cast("double").alias("w"))
+    return G.undirected(pairs)
 
 
-@query(f"WITH RECURSIVE {_values([(a, b, 1) for a, b in HOPS])}, r(id, hops) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT ed.dst::BIGINT, r.hops + 1 FROM r JOIN ed ON ed.src = r.id WHERE r.hops < 9) SELECT id, min(hops) AS hops FROM r GROUP BY 1")
-def graph_bfs(spark, d):
-    return G.bfs(_edges(spark, [(a, b, 1) for a, b in HOPS]), 1).select("id", "hops")
+def start(spark, d) -> int:
+    return table(spark, d, "customer").agg(F.min("c_nationkey")).first()[0]
 
 
-@query(f"WITH RECURSIVE {_values(PATHS)}, r(id, dist, n) AS (SELECT 1::BIGINT, 0.0::DOUBLE, 0 UNION SELECT ed.dst::BIGINT, r.dist + ed.w, r.n + 1 FROM r JOIN ed ON ed.src = r.id WHERE r.n < 7) SELECT id, min(dist) AS dist FROM r GROUP BY 1")
-def graph_sssp(spark, d):
-    return G.shortest_paths(_edges(spark, PATHS), 1).select("id", "dist")
+def _bfs_sql(levels: int) -> str:
+    """Levels in the order in which a queue takes vertices: by the parent's turn, the weight descending, the id."""
+    out, seen = f"WITH {NATIONS}, l0 AS (SELECT {START} AS id, 0::BIGINT AS hops, NULL::BIGINT AS parent, 1::BIGINT AS visit)", "SELECT * FROM l0"
+    for k in range(1, levels + 1):
+        out += f""", f{k} AS (SELECT ed.dst AS id, l.id AS parent, l.visit AS v, ed.w, row_number() OVER (PARTITION BY ed.dst ORDER BY l.visit, ed.w DESC) AS r FROM l{k - 1} l JOIN ed ON ed.src = l.id WHERE ed.dst NOT IN (SELECT id FROM ({seen}))),
+l{k} AS (SELECT id, {k}::BIGINT AS hops, parent, (SELECT count(*) FROM ({seen})) + row_number() OVER (ORDER BY v, w DESC, id) AS visit FROM f{k} WHERE r = 1)"""
+        seen += f" UNION ALL SELECT * FROM l{k}"
+    return f"{out}, b AS ({seen})"
 
 
-NATIONS = "h AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey + 100 AS b FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey), ed AS (SELECT a AS src, b AS dst FROM h UNION ALL SELECT b, a FROM h)"
+@query(f"{_bfs_sql(6)} SELECT id, hops, visit FROM b")
+def graph_bfs(spark, d):
+    return G.bfs(trade(spark, d), start(spark, d)).select("id", "hops", "visit")
 
 
-def trade(spark, d):
-    o, c, l, s = (table(spark, d, n) for n in ("orders", "customer", "lineitem", "supplier"))
-    all_ = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return G.undirected(all_.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("s_nationkey") + 100).cast("long").alias("dst"), F.lit(1.0).alias("w")).distinct())
+@query(f"""WITH RECURSIVE {NATIONS}, r(id, dist) USING KEY (id) AS (SELECT {START}, 0.0::DOUBLE UNION SELECT o.id, o.dist FROM
+ (SELECT ed.dst AS id, min(r.dist + ed.w) AS dist FROM r JOIN ed ON ed.src = r.id GROUP BY 1) o LEFT JOIN recurring.r had ON had.id = o.id WHERE had.id IS NULL OR o.dist < had.dist) SELECT id, dist FROM r""")
+def graph_sssp(spark, d):
+    return G.shortest_paths(trade(spark, d), start(spark, d)).select("id", "dist")
 
 
-@query(f"WITH {NATIONS} SELECT src::BIGINT AS src, count(*) AS degree FROM ed GROUP BY 1")
+@query(f"WITH {NATIONS} SELECT src, count(*) AS degree FROM ed GROUP BY 1")
 def graph_degree(spark, d):
     return G.degree(trade(spark, d))
 
 
-@query(f"WITH {NATIONS} SELECT src::BIGINT AS src, dst::BIGINT AS dst, (row_number() OVER (PARTITION BY src ORDER BY dst))::INT AS position FROM ed")
+@query(f"WITH {NATIONS} SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY dst))::INT AS position, (row_number() OVER (PARTITION BY src ORDER BY w DESC, dst))::INT AS by_weight FROM ed")
 def graph_adjacency(spark, d):
-    return G.adjacency(trade(spark, d)).select("src", "dst", "position")
+    t = cut(trade(spark, d))
+    return G.adjacency(t).select("src", "dst", "position").join(G.adjacency(t, by_weight=True).select("src", "dst", F.col("position").alias("by_weight")), ["src", "dst"])
 
 
 @query(f"WITH RECURSIVE {NATIONS}, r(id, c) AS (SELECT DISTINCT src, src FROM ed UNION SELECT ed.dst, r.c FROM r JOIN ed ON ed.src = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY 1) SELECT count(DISTINCT c) AS components, count(DISTINCT c) = 1 AS connected FROM m")
@@ -584,9 +658,9 @@ def graph_connected(spark, d):
     return G.connected(e.select(F.col("src").alias("id")).distinct(), e.select(F.col("src").alias("i"), F.col("dst").alias("j")))
 
 
-@query("SELECT parent::BIGINT AS parent, child::BIGINT AS child FROM (VALUES (1, 2), (1, 9), (9, 3), (9, 7), (3, 4), (3, 5), (3, 6), (7, 8)) t(parent, child)")
+@query(f"{_bfs_sql(6)} SELECT parent, id AS child FROM b WHERE parent IS NOT NULL")
 def spanning_tree(spark, d):
-    return G.spanning_tree(_edges(spark, [(a, b, 1) for a, b in HOPS]), 1)
+    return G.spanning_tree(trade(spark, d), start(spark, d))
 
 
 @query("SELECT a.k AS src, b.k AS dst FROM range(1, 26) a(k), range(1, 26) b(k) WHERE abs((a.k - 1) % 5 - (b.k - 1) % 5) + abs((a.k - 1) // 5 - (b.k - 1) // 5) = 1")
@@ -599,14 +673,15 @@ def graph_random(spark, d):
     return G.random_graph(spark, 12, 0.5).select("src", "dst")
 
 
-@query()
+@query(f"""WITH RECURSIVE g(v, ends) AS (SELECT 4::BIGINT, [2, 1, 3, 1, 3, 2]::BIGINT[] UNION ALL SELECT v + 1, list_concat(ends, flatten(list_transform(list_sort(list_transform(range(1, v), lambda x: {{'k': -ln(1 - {uniform_sql('v', 'x', '1')}) / greatest(1, len(list_filter(ends, lambda e: e = x))), 'x': x}}))[1:2], lambda y: [v, y.x]))) FROM g WHERE v <= 40),
+f AS (SELECT ends FROM g ORDER BY v DESC LIMIT 1), p AS (SELECT ends[2 * i + 1] AS a, ends[2 * i + 2] AS b FROM f, range(0, 77) r(i)) SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p""")
 def graph_preferential(spark, d):
-    return G.preferential_graph(spark, 12, 3, 2).select("src", "dst")
+    return G.preferential_graph(spark, 40, 3, 2).select("src", "dst")
 
 
-@query("SELECT 24.0 * 100 * 64 + 50 AS cost")
+@query(f"WITH {NATIONS} SELECT sum(w) * 100 * 64 + 50 AS cost FROM ed")
 def communication_cost(spark, d):
-    return G.communication_cost(G.grid_graph(spark, 3), 100, 64, 50.0)
+    return G.communication_cost(trade(spark, d), 100, 64, 50.0)
 
 
 # ---- C
@@ -663,25 +738,36 @@ def node_centres(spark, d):
     return cut(n.crossJoin(first_centres(spark, d)))
 
 
-@query(f"""WITH {E}, {CENT}, {near_sql('n', 'ct')}, t AS (SELECT sum(cost) AS total, avg(cost) AS mean FROM n), o AS (SELECT id, cost, sum(cost) OVER (ORDER BY id) AS hi FROM n), dr AS (SELECT k, {uniform_sql('1', 'k', '1')} AS u FROM range(1, 101) g(k)),
-p AS (SELECT o.id, o.cost, count(*) AS times FROM o, dr, t WHERE u * total >= hi - cost AND u * total < hi GROUP BY ALL) SELECT id, round(times * total / 100 / (cost + 1e-5 * mean), 4) AS w FROM p, t""")
+def coreset_sql(t: int, nodes: int, own: bool = False) -> str:
+    """A coreset per node: t draws in all, or of each node on its own account. Rows (node, id, w, is_center)."""
+    node = f"(floor({uniform_sql('id', '1')} * {nodes}) + 1)::INT" if nodes > 1 else "1"
+    total = "PARTITION BY node" if own else ""
+    return f"""WITH {E}, {CENT}, {near_sql('n0', 'ct')}, n AS (SELECT *, {node} AS node FROM n0), tt AS (SELECT DISTINCT node, sum(cost) OVER (PARTITION BY node) AS loc, count(*) OVER (PARTITION BY node) AS k, sum(cost) OVER ({total}) AS total, avg(cost) OVER ({total}) AS mean FROM n),
+bu AS (SELECT *, ceil(loc / total * {t})::BIGINT AS t FROM tt), o AS (SELECT node, id, centre, cost, sum(cost) OVER (PARTITION BY node ORDER BY id) AS hi FROM n), dr AS (SELECT node, unnest(range(1, t + 1)) AS draw FROM bu WHERE k > t),
+du AS (SELECT dr.node, {uniform_sql('dr.node', 'draw', '1')} * loc AS pos FROM dr JOIN bu USING (node)),
+p AS (SELECT o.node, o.id, o.centre, o.cost, count(*) AS times FROM o JOIN du ON du.node = o.node AND pos >= hi - cost AND pos < hi GROUP BY ALL),
+dw AS (SELECT p.node, p.id, p.centre, times * total / {t} / (cost + 1e-5 * mean) AS w FROM p JOIN bu ON bu.node = p.node),
+ma AS (SELECT n.node, centre, count(*) AS mass FROM n JOIN bu ON bu.node = n.node WHERE bu.k > bu.t GROUP BY ALL), tk AS (SELECT node, centre, sum(w) AS taken FROM dw GROUP BY ALL),
+cs AS (SELECT node::INT AS node, id, w, false AS is_center FROM dw UNION ALL SELECT n.node::INT, n.id, 1, false FROM n JOIN bu ON bu.node = n.node WHERE bu.k <= bu.t UNION ALL SELECT ma.node::INT, ma.centre, mass - coalesce(taken, 0), true FROM ma LEFT JOIN tk ON tk.node = ma.node AND tk.centre = ma.centre)"""
+
+
+def coreset_rows(c: DataFrame) -> DataFrame:
+    return rounded(c.select("node", "id", "w", "is_center").withColumn("w", F.round("w", 4)), "w")
+
+
+@query(f"{coreset_sql(100, 1)} SELECT node, id, round(w, 4) + 0.0 AS w, is_center FROM cs")
 def coreset_weights(spark, d):
-    c = C.coreset(emb(spark, d).withColumn("w", F.lit(1.0)), first_centres(spark, d), 100)
-    return c.where("not is_center").select("id", F.round("w", 4).alias("w"))
+    return coreset_rows(C.coreset(emb(spark, d).withColumn("w", F.lit(1.0)), first_centres(spark, d), 100))
 
 
-@query(f"WITH {E}, n AS (SELECT (floor({uniform_sql('id', '1')} * 4) + 1)::INT AS node FROM e) SELECT node, round(count(*)::DOUBLE, 4) AS mass FROM n GROUP BY 1")
+@query(f"{coreset_sql(60, 4)} SELECT node, id, round(w, 4) + 0.0 AS w, is_center FROM cs")
 def distributed_coreset(spark, d):
-    """The mass of each node's coreset, which is that of its points."""
-    c = C.distributed_coreset(weighted_nodes(spark, d), node_centres(spark, d), 60)
-    return c.groupBy("node").agg(F.round(F.sum("w"), 4).alias("mass"))
+    return coreset_rows(C.distributed_coreset(weighted_nodes(spark, d), node_centres(spark, d), 60))
 
 
-@query(ORACLE_SQL["distributed_coreset"])
+@query(f"{coreset_sql(15, 4, own=True)} SELECT node, id, round(w, 4) + 0.0 AS w, is_center FROM cs")
 def combined_coreset(spark, d):
-    """The same for coresets that nodes draw on their own."""
-    c = C.combined_coreset(weighted_nodes(spark, d), node_centres(spark, d), 60, 4)
-    return c.groupBy("node").agg(F.round(F.sum("w"), 4).alias("mass"))
+    return coreset_rows(C.combined_coreset(weighted_nodes(spark, d), node_centres(spark, d), 60, 4))
 
 
 @query()
@@ -691,21 +777,54 @@ def tree_coreset(spark, d):
     return made.agg(F.count("*").alias("points"), F.round(F.sum("w"), 2).alias("mass")).crossJoin(sent)
 
 
-@query()
+def seeded_sql(k: int, seeds: int) -> str:
+    """s{k}: k centres (seed, centre, c) per seed, in the way of k-means++ with hashed draws."""
+    draw = lambda n, mass: f"-ln(1 - {uniform_sql('id', 'seed', str(n))}) / {mass}"
+    out = f"{E}, sd AS (SELECT seed FROM range(1, {seeds + 1}) r(seed)), s1 AS (SELECT seed, 1 AS centre, c FROM (SELECT seed, v AS c, row_number() OVER (PARTITION BY seed ORDER BY {draw(0, '1.0')}, id) AS r FROM e, sd) WHERE r = 1)"
+    for n in range(2, k + 1):
+        out += f""", q{n} AS (SELECT id, v, seed, min({DIST}) AS cost FROM e, s{n - 1} GROUP BY id, v, seed),
+s{n} AS (SELECT * FROM s{n - 1} UNION ALL SELECT seed, {n}, c FROM (SELECT seed, v AS c, row_number() OVER (PARTITION BY seed ORDER BY {draw(n, 'cost')}, id) AS r FROM q{n} WHERE cost > 0) WHERE r = 1)"""
+    return out
+
+
+def runs_sql(k: int, seeds: int, rounds: int) -> str:
+    """best: the least cost of Lloyd's rounds over the seeds."""
+    out, now = seeded_sql(k, seeds), f"s{k}"
+    for r in range(1, rounds + 1):
+        out += f""", n{r} AS (SELECT id, v, seed, centre FROM (SELECT id, v, seed, centre, row_number() OVER (PARTITION BY id, seed ORDER BY {DIST}, centre) AS r FROM e, {now}) WHERE r = 1),
+x{r} AS (SELECT seed, centre, g.k AS dim, avg(v[g.k]) AS m FROM n{r}, range(1, 65) g(k) GROUP BY ALL), m{r} AS (SELECT seed, centre, list(m ORDER BY dim) AS m FROM x{r} GROUP BY ALL),
+c{r} AS (SELECT s.seed, s.centre, coalesce(m, s.c) AS c FROM s{k} s LEFT JOIN m{r} ON m{r}.seed = s.seed AND m{r}.centre = s.centre)"""
+        now = f"c{r}"
+    return f"{out}, f AS (SELECT id, seed, min({DIST}) AS cost FROM e, {now} GROUP BY ALL), best AS (SELECT sum(cost) AS cost FROM f GROUP BY seed ORDER BY cost, seed LIMIT 1)"
+
+
+@query(f"WITH {seeded_sql(4, 3)} SELECT seed::INT AS seed, centre, round(list_sum(c), 6) + 0.0 AS x FROM s4")
 def kmeans_plus_plus(spark, d):
     p = emb(spark, d).withColumn("w", F.lit(1.0))
-    return rounded(C.kmeans_cost(p, C.kmeans_pp(p, 4)), "cost")
+    return rounded(C.seeded(p, 4, [1, 2, 3]).select("seed", "centre", F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("x")), "x")
 
 
-@query()
+@query(f"WITH {runs_sql(3, 10, 10)} SELECT round(cost, 6) AS cost FROM best")
 def kmeans_best_runs(spark, d):
     p = cut(emb(spark, d).withColumn("w", F.lit(1.0)))
-    return rounded(C.kmeans_cost(p, C.best_lloyd(p, 3, rounds=2, runs=2)), "cost")
+    return rounded(C.kmeans_cost(p, C.best_lloyd(p, 3)), "cost")
 
 
-@query()
+def swaps_sql(k: int, runs: int, swaps: int) -> str:
+    """ends: the cheapest run's centres per node (node, own: places of points in their node), by single swaps that save 1 % or more."""
+    return f"""WITH RECURSIVE {E}, n AS (SELECT id, v, (floor({uniform_sql('id', '1')} * 4) + 1)::INT AS node FROM e), ix AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY id) AS ix FROM n),
+p AS (SELECT a.node, a.id, a.ix, list({SQDIST} ORDER BY b.ix) AS d FROM ix a JOIN ix b ON a.node = b.node GROUP BY ALL),
+b0 AS (SELECT node, run, list(ix ORDER BY u, ix)[1:{k}] AS own FROM (SELECT node, ix, run, {uniform_sql('id', '1 + run', chr(39) + 'swap' + chr(39))} AS u FROM ix, range(0, {runs}) r(run)) GROUP BY ALL),
+st(node, run, step, own, cost) AS (SELECT b0.node, run, 0, own, sum(list_min(list_transform(own, lambda c: p.d[c]))) FROM b0 JOIN p ON p.node = b0.node GROUP BY ALL UNION ALL
+ SELECT node, run, step + 1, list_transform(own, lambda c, i: CASE WHEN i = o THEN ix ELSE c END), c FROM (SELECT *, row_number() OVER (PARTITION BY node, run ORDER BY c, o, ix) AS r FROM
+  (SELECT s.node, s.run, s.step, s.own, s.cost, g.o, i.ix, sum(least(p.d[i.ix], coalesce(list_min(list_transform(list_filter(s.own, lambda c, j: j <> g.o), lambda c: p.d[c])), 1e300))) AS c
+   FROM st s, range(1, {k + 1}) g(o), ix i, p WHERE i.node = s.node AND p.node = s.node AND s.step < {swaps} GROUP BY ALL) WHERE c < 0.99 * cost) WHERE r = 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY node, run ORDER BY step DESC) AS r FROM st), ends AS (SELECT node, own, cost, row_number() OVER (PARTITION BY node ORDER BY cost, run) AS q FROM l WHERE r = 1)"""
+
+
+@query(f"{swaps_sql(3, 3, 50)}, c AS (SELECT node, unnest(own) AS ix, generate_subscripts(own, 1)::INT AS centre FROM ends WHERE q = 1) SELECT c.node, c.centre, round(list_sum(ix.v), 6) + 0.0 AS x FROM c JOIN ix ON ix.node = c.node AND ix.ix = c.ix")
 def single_swap_centres(spark, d):
-    return C.single_swap(weighted_nodes(spark, d), 3, runs=1, swaps=5).select("node", "centre")
+    return rounded(C.single_swap(weighted_nodes(spark, d), 3).select("node", "centre", F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("x")), "x")
 
 
 @query(f"WITH {E}, g AS (SELECT k FROM range(1, 65) g(k)), m AS (SELECT k, avg(v[k]) AS m FROM e, g GROUP BY 1), x AS (SELECT id, k, v[k] - m AS x FROM e, m) SELECT (a.k - 1)::INT AS a, (b.k - 1)::INT AS b, round(sum(a.x * b.x), 6) + 0.0 AS g FROM x a JOIN x b ON a.id = b.id AND a.k <= b.k GROUP BY ALL")
@@ -713,15 +832,36 @@ def pca_gramian(spark, d):
     return rounded(A.gramian(A.centred(emb(spark, d))), "g")
 
 
-@query()
+VARIANCE = f"{E}, g AS (SELECT k FROM range(1, 65) g(k)), m AS (SELECT k, avg(v[k]) AS m FROM e, g GROUP BY 1), va AS (SELECT sum((v[k] - m) * (v[k] - m)) AS va FROM e, m)"
+
+
+@query(f"WITH {VARIANCE} SELECT 64 AS components, round(va, 6) AS variance, 1.0 AS share, true AS falling, true AS orthonormal, true AS eigenvectors FROM va")
 def pca_explained(spark, d):
+    """What holds of all principal components: eigenvalues that fall and add up to the variance, vectors that are orthonormal and
+    that the matrix of products only stretches, by their eigenvalue."""
     p = emb(spark, d)
-    return rounded(A.explained_variance(A.principal_components(p, 5), p), "share")
+    c = cut(A.principal_components(p, 64))
+    share = A.explained_variance(c, p).agg(F.round(F.sum("share"), 6).alias("share"))
+    return A.invariants(c, cut(A.gramian(A.centred(p)))).crossJoin(share).select("components", F.round("variance", 6).alias("variance"), "share", "falling", "orthonormal", "eigenvectors")
 
 
-@query()
+@query(f"WITH {VARIANCE} SELECT 64 AS components, round(va, 6) AS variance, true AS falling, true AS orthonormal, true AS eigenvectors FROM va")
 def pca_distributed(spark, d):
-    return rounded(A.distributed_pca(node_points(spark, d), 10, 5).select("component", "eigenvalue"), "eigenvalue")
+    """Nodes that send all their components lose nothing: the same holds of the sum of what they send."""
+    c = cut(A.distributed_pca(node_points(spark, d), 64))
+    return A.invariants(c, cut(A.gramian(A.centred(emb(spark, d))))).withColumn("variance", F.round("variance", 6))
+
+
+@query(f"WITH {VARIANCE} SELECT 5 AS components, round(va, 6) AS variance, true AS adds_up, true AS least FROM va")
+def pca_projected(spark, d):
+    """Five components: what they keep and what the way back leaves out add up to the variance, and five coordinates keep no more."""
+    p = A.centred(emb(spark, d))
+    c = cut(A.principal_components(p, 5))
+    low = A.project(p, c)
+    kept, back = low.agg(F.sum(V.dot("v", "v")).alias("kept")), p.join(A.back_project(low, c).withColumnRenamed("v", "b"), "id").agg(F.sum(V.squared_distance("v", "b")).alias("left"))
+    plain = p.agg(F.sum(V.dot(F.slice("v", 1, 5), F.slice("v", 1, 5))).alias("plain"))
+    own = c.agg(F.count("*").cast("int").alias("components"), F.sum("eigenvalue").alias("own"))
+    return own.crossJoin(kept).crossJoin(back).crossJoin(plain).select("components", F.round(F.col("kept") + F.col("left"), 6).alias("variance"), (F.abs(F.col("kept") - F.col("own")) < 1e-6).alias("adds_up"), (F.col("plain") <= F.col("kept")).alias("least"))
 
 
 @query(f"WITH {E}, g AS (SELECT k FROM range(1, 65) g(k)), m AS (SELECT k, avg(v[k]) AS m FROM e, g GROUP BY 1) SELECT id, round(sum((v[k] - m) * (v[k] - m)), 6) AS length FROM e, m GROUP BY 1")
@@ -745,9 +885,27 @@ def spectral_degree_norm(spark, d):
     return A.degree_normalised(cut(A.affinity(emb(spark, d), 0.5))).groupBy("i").agg(F.round(F.sum("a"), 6).alias("total"))
 
 
+@query(f"WITH {E}, d AS (SELECT s, sum(exp(-{SQDIST} / (2 * s * s))) AS a FROM e a, e b, (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) x(s) WHERE a.id <> b.id GROUP BY 1) SELECT s AS sigma, round(a, 4) AS a FROM d")
+def sigma_sweep(spark, d):
+    """H5: the sum of affinities by sigma."""
+    p = cut(emb(spark, d))
+    return H.sigma_sweep(lambda sigma: A.affinity(p, sigma).agg(F.round(F.sum("a"), 4).alias("a")), [0.5, 0.75, 1.0])
+
+
 @query()
 def spectral_clusters(spark, d):
-    return A.spectral_clusters(emb(spark, d), 3, 0.5, rounds=3, lloyd_rounds=2).select("id", "centre")
+    return A.spectral_clusters(emb(spark, d), 3, 0.5).select("id", "centre")
+
+
+@query(f"WITH {E} SELECT id, 0 AS top FROM e WHERE false")
+def spectral_residual(spark, d):
+    """The leading eigenvector of the normalised affinities is the root of the degrees: points where the subspace iteration's is not."""
+    aff = cut(A.affinity(emb(spark, d), 0.5))
+    rows = A.subspace(A.degree_normalised(aff), emb(spark, d).select("id"), 1, rounds=60)
+    deg = aff.groupBy(F.col("i").alias("id")).agg(F.sqrt(F.sum("a")).alias("r"))
+    both = cut(rows.join(deg, "id").select("id", F.col("v")[0].alias("x"), "r"))
+    size = both.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("nr"))
+    return both.crossJoin(F.broadcast(size)).where(F.abs(F.abs(F.col("x")) / F.col("nx") - F.col("r") / F.col("nr")) > 1e-4).select("id", F.lit(0).alias("top"))
 
 
 @query()
@@ -756,22 +914,173 @@ def bisecting_clusters(spark, d):
 
 
 # ---- R
-@query()
+def normal_sql(*parts: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {uniform_sql(*parts, chr(39) + 'a' + chr(39))})) * cos({uniform_sql(*parts, chr(39) + 'b' + chr(39))} * {R.TAU}))"
+
+
+def _cure_sql(n: int) -> str:
+    u = uniform_sql("id", "1", "'u'", str(n))
+    own = " ".join(f"WHEN {k} THEN {s[n]} + {s[2 + n]} * {normal_sql('id', '1', str(n))}" for k, s in R.SHAPES.items())
+    return f"CASE label {own} WHEN 6 THEN {'4.0 + 1.5' if n == 0 else '5.9 + 0.2'} * {u} ELSE -4.0 + {16.0 if n == 0 else 12.0} * {u} END"
+
+
+@query(f"WITH i AS (SELECT id, (id // 200 + 1)::INT AS label FROM range(1400) r(id)) SELECT id, round({_cure_sql(0)}, 6) + 0.0 AS x, round({_cure_sql(1)}, 6) + 0.0 AS y, label FROM i")
 def cure_points(spark, d):
-    return R.cure(spark, 200)
+    return rounded(R.cure(spark, 200), "x", "y")
 
 
-@query()
+@query(f"""WITH i AS (SELECT id, (id % 2)::INT AS label, {uniform_sql('id', '1')} AS u, 0.05 * {normal_sql('id', '1', "'x'")} AS nx, 0.05 * {normal_sql('id', '1', "'y'")} AS ny FROM range(500) r(id)),
+p AS (SELECT 'circles' AS kind, id, label, CASE label WHEN 1 THEN 0.5 ELSE 1.0 END * cos(u * {R.TAU}) + nx AS x, CASE label WHEN 1 THEN 0.5 ELSE 1.0 END * sin(u * {R.TAU}) + ny AS y FROM i
+UNION ALL SELECT 'moons', id, label, CASE label WHEN 1 THEN 1 - cos(u * {R.TAU} / 2) ELSE cos(u * {R.TAU} / 2) END + nx, CASE label WHEN 1 THEN 0.5 - sin(u * {R.TAU} / 2) ELSE sin(u * {R.TAU} / 2) END + ny FROM i)
+SELECT kind, id, label, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) + 0.0 AS x, round((y - avg(y) OVER w) / stddev_pop(y) OVER w, 6) + 0.0 AS y FROM p WINDOW w AS (PARTITION BY kind)""")
 def ring_points(spark, d):
-    return R.circles(spark, 500).unionByName(R.moons(spark, 500))
+    return rounded(R.circles(spark, 500).withColumn("kind", F.lit("circles")).unionByName(R.moons(spark, 500).withColumn("kind", F.lit("moons"))), "x", "y")
 
 
-@query()
+@query(f"WITH {E}, x AS (SELECT id, k - 1 AS n, v[k] AS x FROM e, range(1, 65) g(k)) SELECT id, round(sum(x + 0.01 * {normal_sql('id', 'n', '1')}), 6) + 0.0 AS total FROM x GROUP BY 1")
 def jittered_points(spark, d):
-    return R.jitter(emb(spark, d), 0.01).select("id", F.round(V.norm("v"), 6).alias("length"))
+    return rounded(R.jitter(emb(spark, d), 0.01).select("id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
 
 
 @query("SELECT 0 AS row, '| kind | points |' AS line UNION ALL SELECT row_number() OVER (ORDER BY t)::INT, '| ' || t || ' | ' || n || ' |' FROM (SELECT event_type AS t, count(*) AS n FROM events GROUP BY 1)")
 def result_report(spark, d):
     t = table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("points"))
     return R.report(t)
+
+
+# ---- S, W: what is written to the shared folder reads back
+def written(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/proxima-files/{name}-{uuid4().hex}"
+
+
+PARTS = "pt AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, round(p_retailprice, 2) AS b, (p_partkey % 3)::DOUBLE AS c FROM part)"
+
+
+def part_points(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.array(F.col("p_size").cast("double"), F.round("p_retailprice", 2), (F.col("p_partkey") % 3).cast("double")).alias("v"))
+    return cut(ranked(p, ["id"], "row").select(F.col("row").alias("id"), "v", F.col("id").alias("key")))
+
+
+RANKED = f"{PARTS}, rk AS (SELECT *, row_number() OVER (ORDER BY id) AS row FROM pt), ft AS (SELECT row AS id, 1 AS term, a AS w FROM rk UNION ALL SELECT row, 2, b FROM rk UNION ALL SELECT row, 3, c FROM rk)"
+
+
+@query(f"WITH {RANKED} SELECT id, term, round(w, 5) AS w FROM ft WHERE w <> 0")
+def sparse_file(spark, d):
+    """Dense points to a sparse text file and back."""
+    at, p = written(spark, "sparse"), part_points(spark, d)
+    S.write_sparse(S.sparse(p), at, p.count(), 3)
+    return S.read_sparse(spark, at)
+
+
+@query(f"WITH {RANKED} SELECT (SELECT count(*) FROM rk) AS n, 3::BIGINT AS d, count(*) AS nnz FROM ft WHERE w <> 0")
+def sparse_header(spark, d):
+    """S1."""
+    at, p = written(spark, "header"), part_points(spark, d)
+    S.write_sparse(S.sparse(p), at, p.count(), 3)
+    return spark.createDataFrame([S.header(spark, at)], "n long, d long, nnz long")
+
+
+@query(f"WITH {RANKED} SELECT id, term, round(w, 5) AS w FROM ft WHERE w <> 0 AND id % 7 = 3")
+def sparse_slice(spark, d):
+    """S3: the rows of some ids."""
+    f = sparse_file(spark, d)
+    return S.read_slice(f, f.select("id").where("id % 7 = 3"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) AS id, label::INT AS label FROM embeddings")
+def label_file(spark, d):
+    """A file with one label a line."""
+    at = written(spark, "labels")
+    e = ranked(table(spark, d, "embeddings").select("vec_id", "label"), ["vec_id"], "id")
+    S.write_sparse(S.sparse(emb(spark, d).join(e.withColumnRenamed("id", "row").select(F.col("vec_id").alias("id"), "row"), "id").select(F.col("row").alias("id"), "v")), at, labels=e.select("id", "label"))
+    return S.read_labels(spark, f"{at}.labels")
+
+
+@query(f"WITH {RANKED} SELECT row AS id, round(a, 4) AS a, round(b, 4) AS b, c::INT AS label FROM rk")
+def delimited_points(spark, d):
+    """Comma-separated numbers, the label in the last field."""
+    at = written(spark, "csv")
+    part_points(spark, d).orderBy("id").select(F.concat_ws(",", *[F.col("v")[i].cast("string") for i in (0, 1)], F.col("v")[2].cast("int").cast("string"))).write.text(at)
+    return S.read_points(spark, at).select("id", F.round(F.col("v")[0], 4).alias("a"), F.round(F.col("v")[1], 4).alias("b"), "label")
+
+
+@query(f"WITH {RANKED} SELECT id, term, round(w, 5) AS w FROM ft WHERE w <> 0")
+def csv_as_sparse(spark, d):
+    """Every field of a delimited file is a feature."""
+    at = written(spark, "fields")
+    part_points(spark, d).orderBy("id").select(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")).write.text(at)
+    S.csv_to_sparse(spark, at, f"{at}-sparse")
+    return S.read_sparse(spark, f"{at}-sparse")
+
+
+@query(f"WITH {RANKED} SELECT row AS id, a + 2 * b + 3 * c AS x FROM rk")
+def sparse_as_csv(spark, d):
+    """A sparse file as dense rows."""
+    at, p = written(spark, "dense"), part_points(spark, d)
+    S.write_sparse(S.sparse(p), at, p.count(), 3)
+    S.sparse_to_csv(spark, at, f"{at}-csv")
+    return S.read_points(spark, f"{at}-csv", " ", labelled=False).select("id", (F.col("v")[0] + 2 * F.col("v")[1] + 3 * F.col("v")[2]).alias("x"))
+
+
+@query(f"WITH {E}, r AS (SELECT id, v, row_number() OVER (ORDER BY id) AS row FROM e), m AS (SELECT a.row AS i, b.row AS j, list_cosine_similarity(a.v, b.v) AS s FROM r a, r b WHERE a.row <> b.row) SELECT i, round(sum(s), 6) + 0.0 AS total, round(max(s), 6) AS top FROM m GROUP BY 1")
+def matrix_file(spark, d):
+    """A similarity matrix as text."""
+    at = written(spark, "matrix")
+    p = cut(ranked(emb(spark, d), ["id"], "row").select(F.col("row").alias("id"), "v"))
+    s = K.block_join(p, p, "cosine").unionByName(p.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("s")))
+    lines = s.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda x: x["s"].cast("string")), ",").alias("line"))
+    lines.orderBy("i").select("line").write.text(at)
+    return rounded(S.read_matrix(spark, at).groupBy("i").agg(F.sum("s").alias("total"), F.max("s").alias("top")), "total", "top")
+
+
+@query("SELECT o_orderpriority AS pred, o_orderstatus AS truth, count(*) AS n FROM orders GROUP BY ALL")
+def pairs_file(spark, d):
+    """A file of label pairs."""
+    at = written(spark, "pairs")
+    order_pairs(spark, d).write.csv(at)
+    return M.contingency(S.read_pairs(spark, at))
+
+
+@query(f"WITH {E}, {sim_sql()}, {knn_sql(10)} SELECT i, j, round(s, 5) AS s FROM knn")
+def edges_file(spark, d):
+    """Neighbours as text."""
+    at = written(spark, "edges")
+    S.write_edges(K.knn(emb(spark, d), 10), at)
+    return spark.read.csv(at, sep=" ", schema="i long, j long, s double")
+
+
+@query(f"{FLAG} SELECT a.cluster::VARCHAR AS pred, l.label::VARCHAR AS truth, count(*) AS n FROM assign a JOIN embeddings l ON l.vec_id = a.id WHERE kind <> 'noise' GROUP BY ALL")
+def assignments_file(spark, d):
+    """Clusters beside true labels, without noise."""
+    at = written(spark, "assigned")
+    S.write_assignments(snn_clusters(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth")), at)
+    return M.contingency(S.read_pairs(spark, at))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1")
+def summary_table(spark, d):
+    """A saved summary."""
+    at = written(spark, "summary")
+    S.write_summary(run_mean_std(spark, d), at)
+    return spark.read.parquet(at)
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
+def result_log(spark, d):
+    """A log with a head, separated by semicolons."""
+    at = written(spark, "log")
+    S.write_log(elapsed_quartiles(spark, d), at)
+    return spark.read.csv(at, sep=";", header=True).select("event_type", F.col("median").cast("double").alias("median"))
+
+
+@query(f"WITH {IDX} SELECT i, j, round(s, 3) AS s FROM half WHERE s >= 0.5")
+def sparse_similarity_file(spark, d):
+    """Similarities of what a sparse file holds; values have seven decimals there."""
+    at, f = written(spark, "terms"), doc_features(spark, d)
+    terms = ranked(f.select("term").distinct(), ["term"], "nr").withColumn("nr", F.col("nr").cast("int"))
+    rows = ranked(f.select("id").distinct(), ["id"], "row")
+    rows = cut(rows)
+    S.write_sparse(f.join(terms, "term").join(rows, "id").select(F.col("row").alias("id"), F.col("nr").alias("term"), "w"), at, decimals=7)
+    s = K.index_join(S.read_sparse(spark, at), symmetric=False).where("s >= 0.5")
+    i, j = rows.select(F.col("row").alias("i"), F.col("id").alias("a")), rows.select(F.col("row").alias("j"), F.col("id").alias("b"))
+    return s.join(i, "i").join(j, "j").select(F.col("a").alias("i"), F.col("b").alias("j"), F.round("s", 3).alias("s"))

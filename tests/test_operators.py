@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -103,6 +104,50 @@ def test_components_of_a_long_path(spark):
     assert {r["cluster"]: r["count"] for r in got} == {0: 201, 201: 1, 202: 1}
 
 
+def test_rounds_are_few_on_a_shuffled_path(spark, monkeypatch):
+    """3000 points in a row whose ids are in no order: rounds follow the logarithm, and state is read from files of its own size."""
+    ids = list(range(3000))
+    random.Random(1).shuffle(ids)
+    one = spark.createDataFrame([(ids[k], ids[k + 1]) for k in range(2999)], "i long, j long")
+    cuts, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, *old: cuts.append(cut(df, *old)) or cuts[-1])
+    got = G.components(spark.range(3002), one).groupBy("cluster").count().collect()
+    assert {r["cluster"]: r["count"] for r in got} == {0: 3000, 3000: 1, 3001: 1}
+    assert len(cuts) <= 2 * 20
+    assert all(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10_000_000 for df in cuts[-2:])
+
+
+def test_repeated_rows_count_apart(spark):
+    p = spark.createDataFrame([(1, [0.0], 1.0), (1, [0.0], 1.0), (3, [4.0], 1.0)], "id long, v array<double>, w double")
+    c = spark.createDataFrame([(1, [1.0])], "centre int, c array<double>")
+    assert sorted(r["cost"] for r in C.nearest_centre(p, c).collect()) == [1.0, 1.0, 9.0]
+    assert C.kmeans_cost(p, c).first()[0] == 11.0
+    made = C.coreset(p, c, 2)
+    assert abs(made.agg(F.sum("w")).first()[0] - 3) < 1e-9
+    assert C.nearest_centre(p, c.where("false")).where("centre is null and cost is null").count() == 3
+
+
+def test_samples_of_a_hot_stratum(spark):
+    """A stratum of many rows, beside a small one and one without a name, has the rows with the least hashes, as many as asked for."""
+    from proxima.functions.hashing import uniform
+
+    df = spark.range(9000).select("id", F.when(F.col("id") < 8990, "hot").when(F.col("id") < 8995, "cold").alias("s"))
+    want = {}
+    for r in df.withColumn("u", uniform(F.col("id"), 1)).collect():
+        want.setdefault(r["s"], []).append((r["u"], r["id"]))
+    want = {k: {i for _, i in sorted(v)[: math.ceil(0.1 * len(v))]} for k, v in want.items()}
+    got = {}
+    for r in X.stratified_sample(df, ["s"], 0.1).collect():
+        got.setdefault(r["s"], set()).add(r["id"])
+    assert got == want
+
+
+def test_best_of_runs_is_the_cheapest(spark):
+    p = cloud(spark, 90).withColumn("w", F.lit(1.0))
+    costs = [C.kmeans_cost(p, C.lloyd(p, C.kmeans_pp(p, 3, s), 5, "w")).first()[0] for s in (1, 2, 3)]
+    assert abs(C.kmeans_cost(p, C.best_lloyd(p, 3, rounds=5, runs=3)).first()[0] - min(costs)) < 1e-9
+
+
 def test_dbscan_against_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.uniform(size=(150, 2))
