@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def _remove(spark: SparkSession, at: str) -> None:
+def remove(spark: SparkSession, at: str) -> None:
+    """Removes a file or folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -49,9 +50,9 @@ def forget(*old: DataFrame) -> None:
     """Removes the tables of earlier cuts; other DataFrames are left alone."""
     for df in old:
         if at := getattr(df, "cut_at", None):
-            _remove(df.sparkSession, at)
+            remove(df.sparkSession, at)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes all that cuts of this application have left; results that still read from it can't be read any more."""
-    _remove(spark, _root(spark))
+    remove(spark, _root(spark))
