@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import remove, shared_dir  # noqa: F401
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where unset, a folder of this session's own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{os.path.join(tempfile.gettempdir(), 'proxima-shared')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/proxima-{name}-{uuid.uuid4().hex}"
@@ -31,7 +23,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the shared folder (a reliable checkpoint)."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
@@ -56,3 +50,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, number of words of each): lower-cased A-Z, parted at ASCII white space."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten()
+    empty = pc.binary_length(words).to_numpy(zero_copy_only=False) == 0  # the one "word" of a text without any
+    if empty.any():
+        sizes[pc.binary_length(pc.ascii_trim_whitespace(texts)).to_numpy(zero_copy_only=False) == 0] = 0
+        words = words.filter(pa.array(~empty))
+    return words.cast(pa.binary()), sizes

@@ -299,6 +299,50 @@ def test_base_counts(spark):
     assert judged(docs(spark, []), keep=["doc_id"]).count() == 0
 
 
+def test_least_determinant_against_random_starts(spark):
+    """Two groups of vectors with a fifth of outliers: no random start of a plain search finds a core of smaller determinant, and
+    the same rows are far away."""
+    from proxima.llm import quality_rules as Q
+
+    r, rows, floor = np.random.default_rng(5), [], np.array(list(Q.FLOORS.values())) ** 2
+    for g in range(2):
+        mix = r.normal(size=(7, 7))
+        x = r.normal(size=(240, 7)) @ mix + g
+        x[:48] = x[:48] + 60 * (1 + g)
+        rows += [(f"g{g}", *map(float, v)) for v in x]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{z} double" for z in Q.Z))
+    est, groups = Q.estimates(df)
+    assert groups == 2
+    got = {e["g"]: e for e in est.collect()}
+    far = {(e["g"], e["z0"]): e["d"] for e in df.join(est, "g").withColumn("d", Q._distance()).collect()}
+    for g in ("g0", "g1"):
+        x = np.array([v[1:] for v in rows if v[0] == g])
+        h, best = int(0.75 * len(x)), (np.inf, None)
+        for _ in range(60):
+            own = r.choice(len(x), 8, replace=False)
+            for _ in range(25):
+                m, c = x[own].mean(0), np.cov(x[own].T, bias=True) + np.diag(floor)
+                d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+                own = np.argsort(d, kind="stable")[:h]
+            det = np.linalg.slogdet(np.cov(x[own].T, bias=True) + np.diag(floor))[1]
+            best = min(best, (det, tuple(d)))
+        assert got[g]["logdet"] < best[0] + 0.1
+        d = np.array(best[1])
+        mine = np.array([far[g, v[1]] for v in rows if v[0] == g])
+        assert set(np.argsort(-d)[:48]) == set(np.argsort(-mine)[:48]) == set(range(48))
+
+
+def test_long_texts_repeat_windows(spark, monkeypatch):
+    """Beyond 65,536 windows places are told apart by whole hashes."""
+    from proxima.llm.quality_rules import judged
+
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**7)}" for _ in range(66_000)]
+    words[65_000:65_010] = words[10:20]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, "a b c d " + " ".join(words[:60]) + " a b c")], "doc_id long, text string")
+    assert {x["doc_id"]: x["n_repeat_words"] for x in judged(d, keep=["doc_id"]).collect()} == {x["doc_id"]: brute_counts(x["text"])[4] for x in d.collect()}
+
+
 def test_outliers_are_rejected_and_others_kept(spark):
     from proxima.llm.quality_rules import judged, kept
 
@@ -494,13 +538,62 @@ def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     assert before == after and len(whole) > 50
 
 
-def test_class_probabilities_add_up():
+def test_scores_against_a_plain_walk_of_the_tree(spark):
+    """Every text's score by loops over its tokens and the tree; after any history the words' probabilities add up to one."""
     from proxima.llm import maxent as M
 
-    r = np.random.default_rng(0)
-    m = M.Model(r.integers(0, M.CLASSES, M.N_ITEMS), np.zeros(M.CLASSES, np.float32), r.normal(size=(M.ROWS, M.CLASSES)).astype(np.float32), None, None, 0.0)
-    p = np.exp(m.forward(M.features(np.arange(50), np.arange(50) * 7)))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    d = docs(spark)
+    numbered, m, n, v, counts = M.fit(M.prepared(d))
+    c = {bytes(r["w"]): r["c"] for r in counts.collect()}
+    items = {w: 1 + i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: M.WORDS])}
+    rows, bits = len(m.table), len(m.table).bit_length() - 1
+    shape = lambda w: (31 * w[-1] + (w[-2] if len(w) > 1 else 0)) % M.SHAPES
+    item = lambda w: 0 if w is None else items.get(w, 1 + M.WORDS + shape(w))
+    mass = Counter()
+    for w in c:
+        if w not in items:
+            mass[shape(w)] += c[w] + 1
+
+    def softmax(one, two, level, node):
+        a, b, u = int(m.leaf[one]) + 1, int(m.leaf[two]) + 1, 2**32
+        x = m.bias[node] + m.table[(a * 512 + node) * 2654435769 % u >> (33 - bits)] + m.table[rows // 2 + ((b * 512 + node) * 2246822507 % u >> (34 - bits))]
+        if not level:
+            both = a * 668265263 % u ^ b * 2654435769 % u
+            x = x + m.table[rows // 4 * 3 + ((both ^ both >> 15) * 3266489917 % u >> (34 - bits))]
+        e = np.exp(x.astype(np.float64))
+        return e / e.sum()
+
+    def leaves(one, two):
+        p = np.ones(1)
+        for level, first in enumerate((0, 1, 1 + M.BRANCH)):
+            p = np.concatenate([p[k] * softmax(one, two, level, first + k) for k in range(len(p))])
+        return p
+
+    assert np.abs(m.table).max() > 0.1
+    for one, two in ((0, 0), (1, 0), (5, 3), (4000, 7)):
+        p = leaves(one, two)
+        words = sum(p[m.leaf[i]] for i in [0, *items.values()]) + sum(p[m.leaf[1 + M.WORDS + g]] * sum([(mass[g] + 1) / (mass[g] + 1)]) for g in range(M.SHAPES))
+        assert abs(p.sum() - 1) < 1e-9 and abs(words - 1) < 1e-6
+    texts_ = {}
+    for r in d.collect():
+        texts_[r["doc_id"]] = [w.lower() for w in body(r["text"]).encode().split()] if r["doc_id"] not in texts_ else None
+    seen = 0
+    for r in M.scored(d).collect():
+        words = texts_[r["doc_id"]]
+        if words is None or len(words) > 300:
+            continue
+        total, one, two = 0.0, 0, 0
+        for w in [*words, None]:
+            i, p = item(w), 1.0
+            leaf = int(m.leaf[i])
+            for level, (first, under) in enumerate(((0, 256), (1, 16), (1 + M.BRANCH, 1))):
+                p *= softmax(one, two, level, first + leaf // under // M.BRANCH)[leaf // under % M.BRANCH]
+            if i > M.WORDS:
+                p *= (c.get(w, 0) + 1) / (mass[i - 1 - M.WORDS] + 1)
+            total, one, two = total + math.log10(p), i, one
+        assert abs(r["score"] - total) < 1e-4 * max(1, abs(total))
+        seen += 1
+    assert seen > 30
 
 
 # ---- WARC
