@@ -1,11 +1,14 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates at a given Jaccard similarity of word shingles.
 
-Two texts are linked if their sets of XXH64 shingle hashes have a Jaccard similarity of LEAST or more. Candidates are pairs of
-sets that agree in one of BANDS bands of ROWS min-hashes each: a pair at similarity j is missed with probability
-(1 - j^ROWS)^BANDS, 5 in 100,000 at 0.8 and less above. Every link is verified on the sets. Equal sets are one node.
+Two texts are linked if their sets of XXH64 shingle hashes have a Jaccard similarity of LEAST or more. A set has a SimHash
+fingerprint, and 64 bits say too little to find all such pairs by blocks that agree (at 0.8 ten bits differ on average), so
+the groups in which fingerprints meet are those of BANDS bands of ROWS min-hashes: a pair at similarity j is in no common
+group with probability (1 - j^ROWS)^BANDS, 5 in 100,000 at 0.8 and less above. Inside a group, pivot distance tables discard
+pairs whose fingerprints differ in over LIMIT bits (of pairs at 0.8 fewer than one in a million do), and what is left is
+verified on the sets. Equal sets are one node.
 
-In a band's group, all pairs across components are verified if they are few; where they are many, members first meet one
-centre per round, and only what these links leave apart meets pairwise, so a large group of copies costs about its size.
+Large groups do not compare all pairs at once: in a round each set meets one centre, the same one for all sets that share a
+group with it, and only what these links leave apart meets pairwise, so a large group of copies costs about its size.
 
 Null and wordless texts have the empty set, which equals itself; fewer words than a shingle make one shingle; an empty
 table gives no rows.
@@ -21,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, small_batches, text_or_empty
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import GROUP, fingerprint, pairs_between, shingle_hashes
 
 #: Similarity as a fraction, compared in whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS, SEED = 25, 5, 17
+#: Bits in which the 64-bit fingerprints of similar sets may differ.
+LIMIT = 24
 #: Pairs per member of a group that are verified without rounds of centres; rounds before all pairs are verified at any number.
 FULL, ROUNDS = 4, 8
 #: Hashes that meet the multipliers at a time.
@@ -53,14 +58,15 @@ def _signatures(words: int):
     def run(batches):
         odd = _multipliers()
         for batch in batches:
-            s, n, keys = [], [], []
+            s, n, f, keys = [], [], [], []
             for t in batch.column("t"):
                 own = np.unique(shingle_hashes(t.as_buffer().to_pybytes(), words))
                 s.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
+                f.append(fingerprint(own))
                 keys.append(bands(own, odd).tolist() if len(own) else [])
-            cols = [*batch.columns[:-1], pa.array(np.array(s, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "s", "n", "keys"])
+            cols = [*batch.columns[:-1], pa.array(np.array(s, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "s", "n", "f", "keys"])
 
     return run
 
@@ -93,36 +99,86 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of members of a group that may be similar by their sizes and are not of one component."""
+def _to_centres(at: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set with one centre of its groups that may be similar to it: the first in an order of all sets that changes by turn."""
     p, q = LEAST
-    j = left.select("g", F.col("s").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu")).join(right.select("g", "s", "n", "c"), "g").where("cu <> c")
-    j = j.where((F.least("nu", "n") * q >= F.greatest("nu", "n") * p))
-    return j.select(F.least("u", "s").alias("a"), F.greatest("u", "s").alias("b")).distinct()
+    centre = at.groupBy("g").agg(F.min(F.struct(F.xxhash64("s", F.lit(turn)).alias("o"), "s", "n", "f", "c")).alias("m"))
+    j = at.join(centre, "g").where("c <> m.c").where(F.least("n", "m.n") * q >= F.greatest("n", "m.n") * p)
+    near = j.where(F.bit_count(F.col("f").bitwiseXOR(F.col("m.f"))) <= LIMIT)
+    first = near.groupBy("s").agg(F.min(F.struct("m.o", "m.s")).alias("m")).select("s", F.col("m.s").alias("t"))
+    return first.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
+
+def _of_group(held) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of a group, or of a tile of a large one, that may be similar and are not of one component."""
+    s, n, f, c, side = (np.concatenate(x) for x in zip(*held))
+    p, q = LEAST
+    x, y = (np.flatnonzero(side != 2), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(s)), np.arange(len(s)))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in pairs_between(f[x], f[y], LIMIT):
+        i, j = x[i], y[j]
+        ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
+        ok &= side.any() | (i < j)
+        a.append(np.minimum(s[i[ok]], s[j[ok]]))
+        b.append(np.maximum(s[i[ok]], s[j[ok]]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _by_pivots(frames):
+    """Frames hold whole groups one after another: rows are sorted by group within a partition."""
+    import pandas as pd
+
+    key, held = None, []
+
+    def out():
+        a, b = _of_group(held) if sum(len(h[0]) for h in held) > 1 else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": b})
+
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        g = pdf["g"].to_numpy()
+        begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        for u, v in zip(begin.tolist(), [*begin[1:].tolist(), len(g)]):
+            if held and g[u] != key:
+                yield out()
+                held = []
+            key = g[u]
+            held.append((pdf["s"].to_numpy()[u:v], pdf["n"].to_numpy()[u:v], pdf["f"].to_numpy().view(np.uint64)[u:v], pdf["c"].to_numpy()[u:v], pdf["side"].to_numpy()[u:v]))
+    if held:
+        yield out()
+
+
+def _all_pairs(at: DataFrame) -> DataFrame:
+    """(a, b): all pairs of members of a group that may be similar; groups over GROUP rows are tiled over many tasks."""
+    hot = cut(at.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("g", F.ceil(F.col("k") / (GROUP // 2)).cast("int").alias("tiles")))
+    j = at.join(hot, "g", "left")
+    own = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
+    plain = j.where("tiles is null").select("g", "s", "n", "f", "c", F.lit(0).alias("side"))
+    # tile (t, u), t <= u: rows of part t meet those of part u; each part goes to all its tiles
+    t = j.where("tiles is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = t.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s", "n", "f", "c", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    return plain.unionAll(tiled).repartition("g").sortWithinPartitions("g").mapInPandas(_by_pivots, "a long, b long").distinct()
 
 
 def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """members(g, s, n) of groups: (id, component) of all sets that are linked inside groups; None without groups."""
+    """members(g, s, n, f) of groups: (id, component) of all sets that are linked inside groups; None without groups."""
     size = members.count()
     if not size:
         return None
     found = tested = parts = None
     for turn in range(ROUNDS + 1):
-        at = members.withColumn("c", F.col("s")) if parts is None else members.join(parts.select(F.col("id").alias("s"), F.col("component").alias("c0")), "s", "left").select("g", "s", "n", F.coalesce("c0", "s").alias("c"))
+        at = members.withColumn("c", F.col("s")) if parts is None else members.join(parts.select(F.col("id").alias("s"), F.col("component").alias("c0")), "s", "left").select("g", "s", "n", "f", F.coalesce("c0", "s").alias("c"))
+        # groups of one component stay so, and are left out from here on
         per = at.groupBy("g", "c").agg(F.count("*").cast("double").alias("k")).groupBy("g").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open")).where("open > 0")
         per = cut(per)
         left = per.agg(F.sum("open")).first()[0]
         if not left:
             break
         at = cut(at.join(per.select("g"), "g", "left_semi"))
-        members = at.select("g", "s", "n")  # groups of one component stay so
+        members = at.select("g", "s", "n", "f")
         whole = left <= FULL * size or turn == ROUNDS
-        if whole:
-            pairs = _pairs(at, at)
-        else:
-            # one order of all sets, another one each round: groups of the same copies have the same centre
-            centre = at.groupBy("g").agg(F.min(F.struct(F.xxhash64("s", F.lit(turn)).alias("o"), "s", "n", "c")).alias("m")).select("g", "m.s", "m.n", "m.c")
-            pairs = _pairs(at, centre)
+        pairs = _all_pairs(at) if whole else _to_centres(at, turn)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         new = cut(verified(pairs, sets))
         found = new if found is None else found.unionAll(new)
@@ -138,8 +194,8 @@ def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str
     small_batches(docs.sparkSession, 500)
     body = text_or_empty(text).cast("binary")
     key = F.xxhash64(body)
-    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("h"), body.alias("t")).mapInArrow(_signatures(words), "doc_id long, h long, s long, n long, keys array<long>"))
-    dealt = rows.dropDuplicates(["s"]).select(F.explode("keys").alias("g"), "s", "n")
+    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("h"), body.alias("t")).mapInArrow(_signatures(words), "doc_id long, h long, s long, n long, f long, keys array<long>"))
+    dealt = rows.dropDuplicates(["s"]).select(F.explode("keys").alias("g"), "s", "n", "f")
     # groups of the same members, as most bands of near copies make, are one
     of = dealt.groupBy("g").agg(F.count("*").alias("k"), *[F.expr(f"bit_xor(xxhash64(s, {i}))").alias(f"x{i}") for i in (1, 2)]).where("k > 1")
     shared = of.groupBy("k", "x1", "x2").agg(F.min("g").alias("g")).select("g")
