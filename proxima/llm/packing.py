@@ -15,74 +15,100 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_or_empty
+from .common import cut, small_batches, split, text_or_empty
 
 CAPACITY, END_ID = 2048, 0
 #: Nodes of one search for a filling; then the incumbent stands.
 NODES = 2000
 #: Steps of the branch and bound towards one number of sequences, and fillings that it considers beside one piece.
 WORK, OPTIONS = 200_000, 24
-#: Words whose ids a task keeps.
-WORDS_KEPT = 400_000
+#: Pieces of words whose ids a task keeps; words that are encoded together.
+WORDS_KEPT, TOGETHER = 400_000, 1_000_000
 
 
-#: Between an ASCII letter or digit and ASCII punctuation other than the apostrophe, tokens always end.
-SEAM = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+#: Tokens always end between ASCII letters, single digits, and runs of ASCII punctuation other than the apostrophe.
+_MARKS = rb"!-&(-/:-@\[-`{-~0-9"
+SEAM = re.compile(rb"(?<=[A-Za-z0-9])(?=[" + _MARKS + rb"])|(?<=[" + _MARKS + rb"])(?=[A-Za-z0-9])")
+
+
+#: Words that are one run of letters, in lower case and composed form in every version of Unicode.
+SIMPLE = re.compile("[a-zß-öø-ÿа-яё\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
 
 
 class WordIds:
-    """Ids of words as little-endian 32-bit bytes, for a lower-casing tokeniser of words that drops white space.
+    """Ids of texts, for a lower-casing tokeniser of words that drops white space.
 
     Such a tokeniser encodes the words of a text separately, so each distinct word is encoded once while it is remembered.
-    New words that are letters only are encoded together as one text, whose ids are parted after each end of a word.
+    Words of common lower-case letters go to its merges at once, others through all of its steps.
+    The strings of special tokens are these tokens, wherever they stand; a text is encoded in parts between them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t, self.known = Tokenizer.from_file(path), {}
-        self.t.encode_special_tokens = True  # their strings in a text are then ordinary text
-        vocab = self.t.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.special = {x.content.encode(): np.array([i], "<u4").tobytes() for i, x in self.t.get_added_tokens_decoder().items()}
+        self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
+        self.t.encode_special_tokens = True  # what else looks like them, once in lower case, is ordinary text
+        # the letters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = list(map(bytes.decode, words))
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
-        for at in range(0, len(plain), 5000):
-            own = plain[at : at + 5000]
-            ids = np.array(self.t.encode_batch_fast([" ".join([texts[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(own) or cuts[-1] != len(ids):  # not one piece for each word
-                alone += own
-                continue
-            data, a = ids.tobytes(), 0
-            for i, b in zip(own, (4 * cuts).tolist()):
-                self.known[words[i]] = data[a:b]
-                a = b
+        """Adds the ids of words between seams to those known."""
+        tokens, table, alone = self.t.model.tokenize, self.letters, []
+        for w in words:
+            if w.isascii() and w.isalpha() or SIMPLE.fullmatch(w.decode()):  # the normaliser and the splitting leave such a word as it is
+                text = w.decode() if w.isascii() else w.decode("latin-1").translate(table)
+                self.known[w] = array("I", [t.id for t in tokens(text)]).tobytes()
+            else:
+                alone.append(w)
         for at in range(0, len(alone), 5000):
             own = alone[at : at + 5000]
-            for i, e in zip(own, self.t.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)):
-                self.known[words[i]] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [SEAM.sub(b" ", t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]  # bytes.lower is A-Z only
-        words = set().union(*split)
-        new = words - self.known.keys()
+            for w, e in zip(own, self.t.encode_batch_fast(list(map(bytes.decode, own)), add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, by its pieces between seams."""
+        data = list(map(self.known.get, words))
+        rest = [i for i, x in enumerate(data) if x is None]
+        pieces = [p.split(b" ") for p in SEAM.sub(b" ", b"\n".join([words[i] for i in rest])).split(b"\n")] if rest else []
+        needed = set().union(*pieces)
+        new = needed - self.known.keys()
         if len(self.known) + len(new) > WORDS_KEPT:
             self.known.clear()
-            new = words
+            new = needed
         self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        get = self.known.__getitem__
+        for i, p in zip(rest, pieces):
+            data[i] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        return data
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        words, sizes = split(texts)
+        coded = words.dictionary_encode()
+        get = self._of_words(coded.dictionary.to_pylist()).__getitem__
+        index, ends = coded.indices.to_numpy().tolist(), np.cumsum(sizes).tolist()
+        return [b"".join(map(get, index[a:b])) for a, b in zip([0, *ends], ends)]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Of each text (strings without nulls) the ids as little-endian 32-bit bytes."""
+        if not self.special or not any(pc.any(pc.match_substring(texts, s.decode())).as_py() for s in self.special):
+            return self._plain(texts)
+        parts = [self.cuts.split(t.as_buffer().to_pybytes()) for t in texts]
+        flat = [x for p in parts for x in p[::2]]
+        done = iter(self._plain(pa.array(flat, pa.binary()).cast(pa.string(), safe=False)))
+        return [b"".join(self.special[x] if i % 2 else next(done) for i, x in enumerate(p)) for p in parts]
 
 
 _OPEN: dict[str, WordIds] = {}
@@ -96,13 +122,26 @@ def _word_ids(path: str) -> WordIds:
     return _OPEN[path]
 
 
+def _joined(batches, size: int):
+    """Batches put together up to some bytes of text."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.nbytes
+        if have > size:
+            yield pa.concat_batches(held)
+            held, have = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _pieces(tokenizer: str, capacity: int, keep_ids: bool):
     def run(batches):
         w = _word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in _joined(batches, 6 * TOGETHER):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), w.ids(batch.column("text").to_pylist())):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), w.ids(batch.column("text"))):
                 data = ids + end
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
@@ -121,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, with keep_ids, the ids as little-endian 32-bit bytes."""
     small_batches(docs.sparkSession, 500)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text")).mapInArrow(_pieces(tokenizer, capacity, keep_ids), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(_pieces(tokenizer, capacity, keep_ids), schema)
 
 
 class _Fill:
