@@ -1,10 +1,12 @@
 """Quality rules: base statistics of texts, and robust multivariate outliers per language and source.
 
 Everything here is DataFrame functions. Texts become a few counts each; the counts, transformed, are vectors whose
-location and scatter are estimated per (lang, source) by the minimum covariance determinant: a start from medians and
-median absolute deviations, then concentration steps, each keeping the H share of rows nearest to the estimate. Quantiles
-come from fixed-width histograms, so they add up the same on any number of machines. Groups with too few rows share one
-estimate per language; where that is too small as well nothing is known and nothing is rejected.
+location and scatter are estimated per (lang, source) by the minimum covariance determinant: three starts (median absolute
+deviations; the scatter of the values' hyperbolic tangents; that of their spatial signs), concentration steps, each keeping the
+H share of rows nearest to the estimate, and of the starts the one with the least determinant, which goes on until its
+determinant falls no further. Quantiles come from fixed-width histograms, so they add up the same on any number of machines.
+Groups with fewer than LEAST rows, which are too few for a scatter of seven numbers, share one estimate per language; where that
+is too small as well nothing is known and nothing is rejected.
 
 Null texts count as empty texts (and so fail the base rule); null languages and sources are groups like any others;
 repeated rows count as often as they come; an empty table gives no rows.
@@ -21,8 +23,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: The transformed statistics, with the deviation that counts as noise in each (it bounds the variance from below).
 FLOORS = {"z0": 0.06, "z1": 0.04, "z2": 0.06, "z3": 0.04, "z4": 0.06, "z5": 0.06, "z6": 0.5}
 Z = list(FLOORS)
-#: Share of rows that the estimates rest on, concentration steps, least rows of a group.
-H, STEPS, LEAST = 0.75, 3, 60
+#: Share of rows that the estimates rest on, steps of every start, fall of the log determinant that ends the best one's, steps at
+#: most, least rows of a group.
+H, STEPS, FALL, MOST, LEAST = 0.75, 2, 0.01, 30, 60
+STARTS = 3
+#: Bins of a doubling in histograms of distances.
+BINS = 256
 #: Squared distance at which a vector is rejected: the chi-square quantile of 7 degrees at 1 - 1e-9.
 CUTOFF = 58.0
 #: The median of the chi-square distribution with 7 degrees.
@@ -41,18 +47,24 @@ def repeat_words(words: Column) -> Column:
 
     def covered(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.shiftleft(F.lit(1).cast("long"), 24) - 1, lambda mask: marked(h, mask))))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(marked(h)))
 
-    def marked(h: Column, mask: Column) -> Column:
-        keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+    def marked(h: Column) -> Column:
+        # up to 65,536 windows 48 bits of the hash and the place make one number; whole hashes beyond
+        return let(F.when(F.size(h) <= 65_536, by_numbers(h)).otherwise(by_hashes(h)), lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, j + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-        def places(k: Column) -> Column:
-            at = lambda x: F.get(h, x.bitwiseAND(mask).cast("int"))
-            same = lambda x, j: (at(x) == at(F.get(k, j))) & F.get(k, j).isNotNull()
-            hit = F.filter(k, lambda x, j: F.coalesce(same(x, j + 1), F.lit(False)) | F.coalesce(same(x, F.when(j > 0, j - 1).otherwise(F.lit(-1))), F.lit(False)))
-            return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(mask)))
+    def beside(k: Column, j: Column, same) -> Column:
+        return F.coalesce(same(F.get(k, j + 1)), F.lit(False)) | F.coalesce(same(F.get(k, F.when(j > 0, j - 1).otherwise(F.lit(-1)))), F.lit(False))
 
-        return let(keys, lambda k: let(places(k), lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, j + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)))
+    def by_numbers(h: Column) -> Column:
+        mask = F.lit(65_535).cast("long")
+        keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~65_535).cast("long")).bitwiseOR(i.cast("long"))))
+        at = lambda x: F.get(h, x.bitwiseAND(mask).cast("int"))
+        return let(keys, lambda k: F.sort_array(F.transform(F.filter(k, lambda x, j: beside(k, j, lambda y: at(x) == at(y))), lambda x: x.bitwiseAND(mask))))
+
+    def by_hashes(h: Column) -> Column:
+        keys = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+        return let(keys, lambda k: F.sort_array(F.transform(F.filter(k, lambda x, j: beside(k, j, lambda y: x["h"] == y["h"])), lambda x: x["i"])))
 
     return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(covered(w)))
 
@@ -110,15 +122,16 @@ def _pairs():
 
 
 def _inverted(m: DataFrame) -> DataFrame:
-    """Rows with the upper triangle a_i_j of a matrix: with that of its inverse, by the sweep operator."""
+    """Rows with the upper triangle a_i_j of a matrix: with that of its inverse and logdet, by the sweep operator."""
     keep, a = [c for c in m.columns if not c.startswith("a_")], lambda i, j: F.col(f"a_{min(i, j)}_{max(i, j)}")
+    m = m.withColumn("logdet", F.lit(0.0))
     for k in range(len(Z)):
         new = []
         for i, j in _pairs():
             x = F.lit(-1.0) / a(k, k) if i == j == k else (a(i, j) / a(k, k) if k in (i, j) else a(i, j) - a(i, k) * a(k, j) / a(k, k))
             new.append(x.alias(f"a_{i}_{j}"))
-        m = m.select(*keep, *new)
-    return m.select(*keep, *[(-a(i, j)).alias(f"a_{i}_{j}") for i, j in _pairs()])
+        m = m.select(*keep, (F.col("logdet") + F.log(a(k, k))).alias("logdet"), *new)
+    return m.select(*keep, "logdet", *[(-a(i, j)).alias(f"a_{i}_{j}") for i, j in _pairs()])
 
 
 def _distance() -> Column:
@@ -127,27 +140,60 @@ def _distance() -> Column:
 
 
 def _bin(distance: Column) -> Column:
-    return F.floor(F.log2(F.greatest(distance, F.lit(0.0)) + 1e-6) * 32)
+    return F.floor(F.log2(F.greatest(distance, F.lit(0.0)) + 1e-6) * BINS)
 
 
-def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Location m_z, inverse scatter a_i_j and scale per group g of rows(g, z0, ...), and the number of groups."""
+def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """For every group g the estimates (g#0, ...) that concentration begins from, and the number of groups."""
     med = cut(_medians(rows, {z: F.col(z) for z in Z}).toDF("g", *[f"m_{z}" for z in Z]))
     groups = med.count()
     mad = _medians(_with(rows, med, groups), {z: F.abs(F.col(z) - F.col(f"m_{z}")) for z in Z})
-    own = [(F.lit(1.0) / F.pow(F.greatest(F.col(z) * 1.4826, F.lit(FLOORS[z])), 2)).alias(f"s_{z}") for z in Z]
-    est = med.join(mad.select("g", *own), "g").select("g", *[f"m_{z}" for z in Z], F.lit(1.0).alias("scale"), *[(F.col(f"s_{Z[i]}") if i == j else F.lit(0.0)).alias(f"a_{i}_{j}") for i, j in _pairs()])
-    est = cut(est)
+    est = cut(med.join(mad.select("g", *[F.greatest(F.col(z) * 1.4826, F.lit(FLOORS[z])).alias(f"s_{z}") for z in Z]), "g"))
+    at = _with(rows, est, groups).select("g", *[((F.col(z) - F.col(f"m_{z}")) / F.col(f"s_{z}")).alias(z) for z in Z])
+    length = F.sqrt(sum((F.col(z) * F.col(z) for z in Z), F.lit(1e-12)))
+    maps = {1: lambda z: F.tanh(z), 2: lambda z: F.col(z) / length}
+    sums = at.groupBy("g").agg(*[F.avg(f(Z[i]) * f(Z[j])).alias(f"p{k}_{i}_{j}") for k, f in maps.items() for i, j in _pairs()])
+    both, out = est.join(sums, "g"), None
+    for k in range(STARTS):
+        # on the scale of the deviations; a tenth of a unit matrix keeps the few numbers that all agree apart
+        c = lambda i, j: F.lit(float(i == j)) if not k else F.col(f"p{k}_{i}_{j}") + (0.1 if i == j else 0.0)  # noqa: B023, E731
+        own = both.select(F.concat("g", F.lit(f"#{k}")).alias("g"), *[f"m_{z}" for z in Z], F.lit(1.0).alias("scale"), *[(c(i, j) * F.col(f"s_{Z[i]}") * F.col(f"s_{Z[j]}")).alias(f"a_{i}_{j}") for i, j in _pairs()])
+        out = own if out is None else out.unionByName(own)
+    return cut(_inverted(out)), groups
+
+
+def _concentrated(rows: DataFrame, est: DataFrame, groups: int) -> DataFrame:
+    """Location, inverse scatter and its log determinant of the H share of each group's rows that are nearest to the estimate."""
+    at = _with(rows, est, groups).select("g", *Z, _bin(_distance()).alias("b"))
+    near = cut(_quantile(at.groupBy("g", F.col("b").alias("bin")).agg(F.count("*").alias("n")), ["g"], H))
+    core = _with(at, near, groups).where("b <= bin")
+    sums = core.groupBy("g").agg(*[F.avg(z).alias(f"m_{z}") for z in Z], *[F.avg(F.col(Z[i]) * F.col(Z[j])).alias(f"p_{i}_{j}") for i, j in _pairs()])
+    cov = sums.select("g", *[f"m_{z}" for z in Z], F.lit(1.0).alias("scale"), *[(F.col(f"p_{i}_{j}") - F.col(f"m_{Z[i]}") * F.col(f"m_{Z[j]}") + (FLOORS[Z[i]] ** 2 if i == j else 0.0)).alias(f"a_{i}_{j}") for i, j in _pairs()])
+    return cut(_inverted(cov))
+
+
+def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Location m_z, inverse scatter a_i_j, logdet and scale per group g of rows(g, z0, ...), and the number of groups."""
+    est, groups = _starts(rows)
+    every = rows.select(F.explode(F.array(*[F.concat("g", F.lit(f"#{k}")) for k in range(STARTS)])).alias("g"), *Z)
     for _ in range(STEPS):
-        at = _with(rows, est, groups).select("g", *Z, _bin(_distance()).alias("b"))
-        near = cut(_quantile(at.groupBy("g", F.col("b").alias("bin")).agg(F.count("*").alias("n")), ["g"], H))
-        core = _with(at, near, groups).where("b <= bin")
-        sums = core.groupBy("g").agg(F.count("*").alias("n"), *[F.avg(z).alias(f"m_{z}") for z in Z], *[F.avg(F.col(Z[i]) * F.col(Z[j])).alias(f"p_{i}_{j}") for i, j in _pairs()])
-        cov = sums.select("g", *[f"m_{z}" for z in Z], F.lit(1.0).alias("scale"), *[(F.col(f"p_{i}_{j}") - F.col(f"m_{Z[i]}") * F.col(f"m_{Z[j]}") + (FLOORS[Z[i]] ** 2 if i == j else 0.0)).alias(f"a_{i}_{j}") for i, j in _pairs()])
-        est = cut(_inverted(cov))
+        est = _concentrated(every, est, groups * STARTS)
+    columns = [c for c in est.columns if c != "g"]
+    # ties, up to rounding, go to the first start
+    best = est.groupBy(F.expr("left(g, length(g) - 2)").alias("g")).agg(F.min(F.struct(F.round("logdet", 6).alias("d"), F.right("g", F.lit(1)).alias("k"), F.struct(*columns).alias("e"))).alias("m"))
+    est = cut(best.select("g", "m.e.*"))
+    for _ in range(MOST):
+        new = _concentrated(rows, est, groups)
+        # a group whose determinant would rise keeps the estimate that it has
+        both = new.select("g", F.struct(*columns).alias("new")).join(est.select("g", F.struct(*columns).alias("old")), "g")
+        falls = F.col("old.logdet") - F.col("new.logdet")
+        chosen = cut(both.select("g", F.when(falls > 0, F.col("new")).otherwise(F.col("old")).alias("e"), F.greatest(falls, F.lit(0.0)).alias("fall")))
+        est = chosen.select("g", "e.*")
+        if not chosen.where(F.col("fall") > FALL).limit(1).count():
+            break
     # the core's scatter is too small for all rows: distances are scaled to the median they have for normal data, downwards only
     mid = _quantile(_with(rows, est, groups).select("g", _bin(_distance()).alias("bin")).groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], 0.5)
-    scaled = est.join(mid.select("g", F.least(F.lit(1.0), MEDIAN_7 / F.pow(F.lit(2.0), (F.col("bin") + 0.5) / 32)).alias("by")), "g")
+    scaled = est.join(mid.select("g", F.least(F.lit(1.0), MEDIAN_7 / F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS)).alias("by")), "g")
     return cut(scaled.withColumn("scale", F.col("by")).drop("by")), groups
 
 
@@ -167,7 +213,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     small = F.broadcast(named) if named.count() <= BROADCAST_GROUPS else named
     s = s.join(small, s["lang"].eqNullSafe(small["l"]) & s["source"].eqNullSafe(small["s"]), "left").drop("l", "s")
     est, groups = estimates(s.where("not base_failed and g is not null").select("g", *Z))
-    est = est.withColumn("known", F.lit(True))
+    est = est.drop("logdet").withColumn("known", F.lit(True))
     s = s.join(F.broadcast(est) if groups <= BROADCAST_GROUPS else est, "g", "left").withColumn("distance", F.when(F.col("known") & ~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return s.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *counts, "base_failed", "distance", kept.alias("kept"))
