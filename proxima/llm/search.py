@@ -6,8 +6,8 @@ kth score. That score is shared: it begins at the exact kth score over a first b
 shard to shard within a task; shards return only what reaches it.
 
 A component x becomes floor(256 * x). Vectors that are null, empty of values, or hold null or non-finite components take no
-part; shorter vectors count as padded with zeros; rows with the query's own id are no candidates for it; exactly repeated
-rows are rows like any others. Scores beyond 64 bits stop at the ends of that range. An empty table gives no rows.
+part; shorter vectors count as padded with zeros; rows with the query's own id are no candidates for it; repeated rows are
+candidates like any others, and an id that occurs twice among the queries asks once. Scores beyond 64 bits stop at the ends of that range. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, scratch, small_batches
 
 #: Vectors of a shard, of a leaf, of a query block; blocks that are broadcast at a time (so their bytes have a bound).
 SHARD, LEAF, BLOCK, BLOCKS = 4096, 128, 512, 64
@@ -147,30 +147,48 @@ def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~bad).select("vec_id", F.transform(e, lambda x: F.floor(x * 256).cast("double")).alias("q"))
 
 
+def _floored(first, k: int):
+    """The queries with kth, their kth score over the first slice, which is one tree."""
+
+    def run(frames):
+        tree, width = None, 1
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            m = _matrix(pdf["q"])
+            kth = np.full(len(m), -np.inf)
+            if first.value:
+                ids, points = first.value
+                if tree is None or m.shape[1] > width:
+                    width = max(points.shape[1], m.shape[1])
+                    tree = BallTree(ids, _padded(points, width))
+                best = Best(pdf["vec_id"].to_numpy(np.int64), k, kth)
+                tree.search(best.qids, _padded(m, width), best.kth, k, best.keep)
+                kth = best.kth
+            yield pdf.assign(kth=kth)
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """vectors(vec_id, q) searched for each of queries(vec_id, q): (query_id, rank, vec_id, score), ties to the smaller id."""
+    """vectors(vec_id, q) searched for each of queries(vec_id, q): (query_id, rank, vec_id, score), ties to the smaller id.
+
+    An id asks once: of queries that repeat it, the one with the least hash. Queries go out BLOCKS blocks at a time, which bounds
+    what is broadcast; each such round writes what it found to the shared folder, and its broadcast goes."""
     spark = vectors.sparkSession
     small_batches(spark, 1024)
-    qs = cut(queries.select("vec_id", "q"))
+    one = queries.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("q").alias("h"), "q")).alias("m")).select("vec_id", "m.q")
     every = max(1, vectors.count() // FIRST)  # about FIRST rows by hash; the limit bounds ids that repeat
-    found, first = None, _block(vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * FIRST).collect())
+    first = spark.sparkContext.broadcast(_block(vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * FIRST).collect()))
+    qs = cut(one.mapInPandas(_floored(first, k), "vec_id long, q array<double>, kth double"))
+    at, found = scratch(spark, "topk"), "query_id long, vec_id long, score long"
+    spark.createDataFrame([], found).write.parquet(at)
     for blocks in _chunks(qs):
-        if first:
-            width = max(first[1].shape[1], *(m.shape[1] for _, m in blocks))
-            tree = BallTree(first[0], _padded(first[1], width))
-        floors = []
-        for q, m in blocks:
-            b = Best(q, k, np.full(len(q), -np.inf))
-            if first:
-                tree.search(q, _padded(m, width), b.kth, k, b.keep)
-            floors.append((q, m, b.kth))
-        sent = spark.sparkContext.broadcast(floors)
-        part = vectors.select("vec_id", "q").mapInPandas(lambda it, sent=sent: _searched(sent.value, k)(it), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        sent = spark.sparkContext.broadcast(blocks)
+        vectors.select("vec_id", "q").mapInPandas(lambda it, sent=sent: _searched(sent.value, k)(it), found).write.mode("append").parquet(at)
+        sent.destroy()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(found).parquet(at).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _block(rows: list) -> tuple[np.ndarray, np.ndarray] | None:
@@ -183,12 +201,12 @@ def _chunks(queries: DataFrame):
     for row in queries.toLocalIterator():
         held.append(row)
         if len(held) == BLOCK:
-            blocks.append(_block(held))
+            blocks.append((*_block(held), np.array([r["kth"] for r in held])))
             held = []
             if len(blocks) == BLOCKS:
                 yield blocks
                 blocks = []
     if held:
-        blocks.append(_block(held))
+        blocks.append((*_block(held), np.array([r["kth"] for r in held])))
     if blocks:
         yield blocks
