@@ -1,37 +1,12 @@
-"""Connected components of a table of links, by alternating star operations on DataFrames."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a node to the least node that it knows. edges(a, b), both directions."""
-    m = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return edges.where("b > a").join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+from ..operators.graph import stars
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) of orderable ids: (id, component) with the least id of the component, for every id in a link.
-
-    Every round writes its edges to the shared folder; the number of rounds is logarithmic in the longest path. The
-    work of a node with many links is shared: minima are pre-aggregated and joins may be split.
-    """
-    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = cut(_large_star(both).where("a <> b").distinct())  # (larger, least)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        # small star: a node's smaller neighbours, and itself, go to the least of them
-        edges = cut(large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
-        edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    stars = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return cut(stars.unionAll(stars.select(F.col("component").alias("id"), "component").distinct()))
+    """links(a, b) of orderable ids: (id, component) with the least id of the component, for every id in a link; see stars()."""
+    return stars(links)

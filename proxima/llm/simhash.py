@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_or_empty
+from .common import cut, free_name, small_batches, text_or_empty
 from .components import components
 
 SEED, LIMIT, WORDS = 42, 4, 4
@@ -248,12 +248,9 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT, words: int = WORDS, tex
 
 def one_of_each(docs: DataFrame, limit: int = LIMIT, words: int = WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row per component: that with the smallest doc_id (of rows that repeat it, one; rows without id stay)."""
-    found = near_duplicates(docs, limit, words, text, doc_id).where("component_id is null or doc_id = component_id")
-    keep = found.where("doc_id is not null").select(F.col("doc_id").alias("__keep")).distinct()
-    at = F.row_number().over(Window.partitionBy(doc_id).orderBy(*[F.xxhash64(c) for c in docs.columns]))
-    once = docs.where(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id).cast("long") == F.col("__keep"), "left_semi")
-    n = "__n"
-    while n in docs.columns:
-        n += "_"
+    keep, n = free_name(docs, "keep"), free_name(docs, "nr")
+    found = near_duplicates(docs, limit, words, text, doc_id).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
+    at = F.row_number().over(Window.partitionBy(doc_id).orderBy(*[F.xxhash64(F.col(f"`{c}`")) for c in docs.columns]))
+    once = docs.where(F.col(doc_id).isNotNull()).join(found, F.col(doc_id).cast("long") == F.col(keep), "left_semi")
     once = once.withColumn(n, at).where(F.col(n) == 1).drop(n)
     return once.unionByName(docs.where(F.col(doc_id).isNull()))
