@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxima.llm import cnn, neardup, packing, pii, quality_rules
-from proxima.llm.common import scratch, table
+from proxima.llm.common import remove, scratch, table
 from proxima.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,10 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, in order; each result is written to the shared folder and read again."""
+    """The stages over documents, in order; each result is written to the shared folder and read again, and goes once the next is there."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         at = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(at), at
     return STAGES[-1][1](spark, docs, sf_dir)
