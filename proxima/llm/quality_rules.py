@@ -25,7 +25,7 @@ FLOORS = {"z0": 0.06, "z1": 0.04, "z2": 0.06, "z3": 0.04, "z4": 0.06, "z5": 0.06
 Z = list(FLOORS)
 #: Share of rows that the estimates rest on, steps of every start, fall of the log determinant that ends the best one's, steps at
 #: most, least rows of a group.
-H, STEPS, FALL, MOST, LEAST = 0.75, 2, 0.01, 30, 60
+H, STEPS, FALL, MOST, LEAST = 0.75, 2, 0.02, 10, 60
 STARTS = 3
 #: Bins of a doubling in histograms of distances.
 BINS = 256
@@ -122,16 +122,25 @@ def _pairs():
 
 
 def _inverted(m: DataFrame) -> DataFrame:
-    """Rows with the upper triangle a_i_j of a matrix: with that of its inverse and logdet, by the sweep operator."""
-    keep, a = [c for c in m.columns if not c.startswith("a_")], lambda i, j: F.col(f"a_{min(i, j)}_{max(i, j)}")
-    m = m.withColumn("logdet", F.lit(0.0))
-    for k in range(len(Z)):
-        new = []
-        for i, j in _pairs():
-            x = F.lit(-1.0) / a(k, k) if i == j == k else (a(i, j) / a(k, k) if k in (i, j) else a(i, j) - a(i, k) * a(k, j) / a(k, k))
-            new.append(x.alias(f"a_{i}_{j}"))
-        m = m.select(*keep, (F.col("logdet") + F.log(a(k, k))).alias("logdet"), *new)
-    return m.select(*keep, "logdet", *[(-a(i, j)).alias(f"a_{i}_{j}") for i, j in _pairs()])
+    """Rows with the upper triangle a_i_j of a matrix: with that of its inverse and logdet, by the sweep operator on an array."""
+    n, keep = len(Z), [c for c in m.columns if not c.startswith("a_")]
+
+    def swept(state: Column, k: int) -> Column:
+        def by_pivot(p: Column, s: Column) -> Column:
+            def cell(x: Column, t: Column) -> Column:
+                i, j = F.floor(t / n), t % n
+                rest = x - F.get(s["a"], (i * n + k).cast("int")) * F.get(s["a"], (j + k * n).cast("int")) / p
+                return F.when((i == k) & (j == k), -1 / p).when((i == k) | (j == k), x / p).otherwise(rest)
+
+            return F.struct(F.transform(s["a"], cell).alias("a"), (s["d"] + F.log(p)).alias("d"))
+
+        return let(state, lambda s: let(F.get(s["a"], F.lit(k * n + k)), lambda p: by_pivot(p, s)))
+
+    state = F.struct(F.array(*[F.col(f"a_{min(i, j)}_{max(i, j)}") for i in range(n) for j in range(n)]).alias("a"), F.lit(0.0).alias("d"))
+    for k in range(n):
+        state = swept(state, k)
+    done = m.select(*keep, state.alias("swept"))
+    return done.select(*keep, F.col("swept.d").alias("logdet"), *[(-F.get("swept.a", F.lit(i * n + j))).alias(f"a_{i}_{j}") for i, j in _pairs()])
 
 
 def _distance() -> Column:
@@ -153,7 +162,7 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
     length = F.sqrt(sum((F.col(z) * F.col(z) for z in Z), F.lit(1e-12)))
     maps = {1: lambda z: F.tanh(z), 2: lambda z: F.col(z) / length}
     sums = at.groupBy("g").agg(*[F.avg(f(Z[i]) * f(Z[j])).alias(f"p{k}_{i}_{j}") for k, f in maps.items() for i, j in _pairs()])
-    both, out = est.join(sums, "g"), None
+    both, out = cut(est.join(sums, "g")), None
     for k in range(STARTS):
         # on the scale of the deviations; a tenth of a unit matrix keeps the few numbers that all agree apart
         c = lambda i, j: F.lit(float(i == j)) if not k else F.col(f"p{k}_{i}_{j}") + (0.1 if i == j else 0.0)  # noqa: B023, E731
@@ -165,11 +174,11 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
 def _concentrated(rows: DataFrame, est: DataFrame, groups: int) -> DataFrame:
     """Location, inverse scatter and its log determinant of the H share of each group's rows that are nearest to the estimate."""
     at = _with(rows, est, groups).select("g", *Z, _bin(_distance()).alias("b"))
-    near = cut(_quantile(at.groupBy("g", F.col("b").alias("bin")).agg(F.count("*").alias("n")), ["g"], H))
+    near = _quantile(at.groupBy("g", F.col("b").alias("bin")).agg(F.count("*").alias("n")), ["g"], H)
     core = _with(at, near, groups).where("b <= bin")
     sums = core.groupBy("g").agg(*[F.avg(z).alias(f"m_{z}") for z in Z], *[F.avg(F.col(Z[i]) * F.col(Z[j])).alias(f"p_{i}_{j}") for i, j in _pairs()])
     cov = sums.select("g", *[f"m_{z}" for z in Z], F.lit(1.0).alias("scale"), *[(F.col(f"p_{i}_{j}") - F.col(f"m_{Z[i]}") * F.col(f"m_{Z[j]}") + (FLOORS[Z[i]] ** 2 if i == j else 0.0)).alias(f"a_{i}_{j}") for i, j in _pairs()])
-    return cut(_inverted(cov))
+    return _inverted(cov)
 
 
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -177,7 +186,7 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     est, groups = _starts(rows)
     every = rows.select(F.explode(F.array(*[F.concat("g", F.lit(f"#{k}")) for k in range(STARTS)])).alias("g"), *Z)
     for _ in range(STEPS):
-        est = _concentrated(every, est, groups * STARTS)
+        est = cut(_concentrated(every, est, groups * STARTS))
     columns = [c for c in est.columns if c != "g"]
     # ties, up to rounding, go to the first start
     best = est.groupBy(F.expr("left(g, length(g) - 2)").alias("g")).agg(F.min(F.struct(F.round("logdet", 6).alias("d"), F.right("g", F.lit(1)).alias("k"), F.struct(*columns).alias("e"))).alias("m"))
@@ -189,7 +198,7 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
         falls = F.col("old.logdet") - F.col("new.logdet")
         chosen = cut(both.select("g", F.when(falls > 0, F.col("new")).otherwise(F.col("old")).alias("e"), F.greatest(falls, F.lit(0.0)).alias("fall")))
         est = chosen.select("g", "e.*")
-        if not chosen.where(F.col("fall") > FALL).limit(1).count():
+        if (chosen.agg(F.max("fall")).first()[0] or 0) <= FALL:
             break
     # the core's scatter is too small for all rows: distances are scaled to the median they have for normal data, downwards only
     mid = _quantile(_with(rows, est, groups).select("g", _bin(_distance()).alias("bin")).groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], 0.5)

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,7 +112,6 @@ def tokenizer():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return path, t
 
 
@@ -230,6 +230,23 @@ def brute_components(ids, prints, limit):
     return [least.get(root(i)) for i in range(len(ids))]
 
 
+def test_queries_that_repeat_an_id_ask_once(spark):
+    from proxima.llm.search import top_k
+
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(12)], "vec_id long, q array<double>")
+    got = top_k(v, v.where("vec_id in (3, 4)").unionByName(v.where("vec_id = 3")), 2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(3, 1, 11), (3, 2, 10), (4, 1, 11), (4, 2, 10)]
+
+
+def test_special_tokens_as_the_plain_call_gives_them():
+    from proxima.llm.packing import WordIds
+
+    path, t = tokenizer()
+    texts_ = ["<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>", "x <|startoftext|><|endoftext|>", "7a-b'll 3rd (x) don't 12.5%", "é́ <|", ""]
+    for text, ids in zip(texts_, WordIds(path).ids(pa.array(texts_))):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_simhash(spark):
     from proxima.llm.simhash import near_duplicates
 
@@ -433,6 +450,57 @@ def test_added_spans_and_redaction(spark):
     assert redact(docs(spark, [None])).where("doc_id = 0 and text is null").count() == 2 and len(KINDS) == 7
 
 
+def test_added_spans_against_a_plain_search(spark):
+    """Generators, features, trees and thresholds again, by loops over plain matches."""
+    import regex
+    from proxima.llm import pii as P
+
+    r = random.Random(9)
+    parts = [b + s + a for b, s, a, _ in P._examples()]
+    texts_ = [" ".join(r.sample(parts, r.randint(1, 4))) for _ in range(250)] + PII + ["é😀 (415) 555-0132x tel. 4155550132", "0" * 40 + "a" * 20, "a [at] b"]
+    d = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    trees, limits = P.model(spark)
+    distinct = spark.range(1).select(F.size(F.array_distinct(F.split(F.lit("ab"), "")))).first()[0] - 2  # whether the split ends with nothing
+    digits = lambda m: "".join(c for c in m if c in "0123456789")
+
+    def luhn(x):
+        return bool(x) and sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(map(int, reversed(x)))) % 10 == 0
+
+    def vector(kind, m, before, after):
+        has = lambda p, t, flags=0: float(bool(regex.search(p, t, flags | regex.ASCII)))
+        n = lambda p: float(sum(bool(regex.match(p, c)) for c in m))
+        said = lambda w: has(rf"(?:{w})", before, regex.I)
+        return [
+            float(kind), float(len(m)), float(len(digits(m))), n("[A-Za-z]"), n("[A-Z]"), n("[^A-Za-z0-9]"), float(len(set(m)) + distinct),
+            float(luhn(digits(m))), has("^[0-9a-f]+$", m), has(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", m), has(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$", m),
+            has(r"^[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}$", m), has(r"^[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}", m), has(r"^[0-9]+(?:\.[0-9]+)+$", m),
+            said("token|key|secret|passw|auth|bearer|credential"), said(r"phone|tel\b|tel[.:]|call|mobile|fax|contact"), said("card|visa|credit|account|iban|ssn|social|passport"), has("[=:\"']\\s?[\"']?$", before),
+            said("order|isbn|version|page|commit|sha|ref|invoice|part|serial|build|total|code"), has("^[A-Za-z]", after),
+        ]
+
+    def value(tree, x):
+        while isinstance(tree, tuple):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    accept = {4: lambda m: True, 5: lambda m: len(digits(m)) >= 7, 6: lambda m: len(m) >= 16 and regex.search("[0-9]", m) and regex.search("[A-Za-z]", m)}
+    added = 0
+    for row in P.found(d).collect():
+        t, base = row["text"], [tuple(s) for s in row["base_spans"]]
+        want = list(base)
+        for kind, pattern in ((4, P.ADDRESS), (5, P.NUMBER), (6, P.SECRET)):
+            found = [m.span() for m in regex.finditer(pattern, t)]
+            for (a, b), follows in zip(found, [*(x for x, _ in found[1:]), len(t)]):
+                m = t[a:b]
+                if not accept[kind](m) or any(s < b and a < e for s, _, e in base):
+                    continue
+                if sum(P.RATE * value(tree, vector(kind, m, t[max(0, a - 28) : a], t[b:follows][:2])) for tree in trees) >= limits[kind]:
+                    want.append((a, kind, b))
+                    added += 1
+        assert [tuple(s) for s in row["spans"]] == sorted(want), t
+    assert added > 50
+
+
 # ---- classifier
 def test_classifier(spark):
     from proxima.llm.cnn import model, scored
