@@ -196,8 +196,8 @@ def model(spark: SparkSession) -> tuple[list, dict[int, float]]:
             order = np.argsort(-score[at], kind="stable")
             s, good = score[at][order], np.cumsum(y[at][order]) / np.arange(1, at.sum() + 1)
             ok = np.flatnonzero((good >= PRECISION) & np.r_[s[1:] < s[:-1], True])
-            # halfway to the next score below, and never for what is likelier not to be personal data
-            limits[kind] = max(0.0, float((s[ok[-1]] + (s[ok[-1] + 1] if ok[-1] + 1 < len(s) else s[ok[-1]])) / 2)) if len(ok) else float("inf")
+            # halfway to the next score below, or just below the last, and never for what is likelier not to be personal data
+            limits[kind] = max(0.0, float((s[ok[-1]] + (s[ok[-1] + 1] if ok[-1] + 1 < len(s) else s[ok[-1]])) / 2) - 1e-9) if len(ok) else float("inf")
         _MODEL.append((trees, limits))
     return _MODEL[0]
 

@@ -494,7 +494,10 @@ def test_added_spans_against_a_plain_search(spark):
                 m = t[a:b]
                 if not accept[kind](m) or any(s < b and a < e for s, _, e in base):
                     continue
-                if sum(P.RATE * value(tree, vector(kind, m, t[max(0, a - 28) : a], t[b:follows][:2])) for tree in trees) >= limits[kind]:
+                x, score = vector(kind, m, t[max(0, a - 28) : a], t[b:follows][:2]), 0.0
+                for tree in trees:
+                    score += P.RATE * value(tree, x)
+                if score >= limits[kind]:
                     want.append((a, kind, b))
                     added += 1
         assert [tuple(s) for s in row["spans"]] == sorted(want), t

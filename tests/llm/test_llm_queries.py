@@ -43,3 +43,17 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == ids
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert {r["doc_id"] for r in P.run(spark, str(SMALL)).collect()} == ids
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    """No rows give no rows; null texts, ids and languages and columns with the names of helpers give no error."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = docs.limit(30).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", None, 0), (10**9, "", "en", None, 0)], docs.schema))
+    odd = odd.withColumns({c: F.lit(1) for c in ("keep", "score", "spans", "base_spans", "n_words", "h", "s", "t", "g", "distance", "__h", "c0", "length")})
+    for name, stage in P.STAGES:
+        none = stage(spark, docs.where("false"), str(SMALL))
+        assert none.count() == 0, name
+        got = stage(spark, odd, str(SMALL))
+        assert name == P.STAGES[-1][0] or got.columns == P.COLUMNS and got.count() <= 33, name
