@@ -29,6 +29,8 @@ from .simhash import GROUP, fingerprint, pairs_between, shingle_hashes
 #: Similarity as a fraction, compared in whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS, SEED = 25, 5, 17
+#: Pairs whose ids are broadcast (16 bytes a pair).
+FEW = 200_000
 #: Bits in which the 64-bit fingerprints of similar sets may differ.
 LIMIT = 24
 #: Pairs per member of a group that are verified without rounds of centres; rounds before all pairs are verified at any number.
@@ -94,7 +96,10 @@ def _similar(batches):
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(a, b) whose sets(s, x) are similar."""
+    """The pairs(a, b) whose sets(s, x) are similar. Up to FEW pairs, their ids go to where the sets are, and only these sets move."""
+    if pairs.count() <= FEW:
+        ids = pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct()
+        sets = sets.join(F.broadcast(ids), "s", "left_semi")
     j = pairs.join(sets.select(F.col("s").alias("a"), "x"), "a").join(sets.select(F.col("s").alias("b"), F.col("x").alias("y")), "b")
     return j.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
