@@ -8,7 +8,9 @@ pairs whose fingerprints differ in over LIMIT bits (of pairs at 0.8 fewer than o
 verified on the sets. Equal sets are one node.
 
 Large groups do not compare all pairs at once: in a round each set meets one centre, the same one for all sets that share a
-group with it, and only what these links leave apart meets pairwise, so a large group of copies costs about its size.
+group with it, and only what these links leave apart meets pairwise, so a large group of copies costs about its size. Where
+all pairs meet, sets go to their groups and links leave them; pairs that are not similar are never rows. Of the texts only
+those move that share a group or may be lost.
 
 Null and wordless texts have the empty set, which equals itself; fewer words than a shingle make one shingle; an empty
 table gives no rows.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, small_batches, text_or_empty
 from .components import components
-from .simhash import GROUP, fingerprint, pairs_between, shingle_hashes
+from .simhash import GROUP, _Forest, fingerprint, pairs_between, shingle_hashes
 
 #: Similarity as a fraction, compared in whole numbers.
 LEAST = (4, 5)
@@ -35,6 +37,10 @@ FEW = 200_000
 LIMIT = 24
 #: Pairs per member of a group that are verified without rounds of centres; rounds before all pairs are verified at any number.
 FULL, ROUNDS = 4, 8
+#: Centres go on while a round leaves no more than this share of the pairs that it found open.
+HELPS = 0.8
+#: Words of 64 bits in a map of hashes.
+WORDS = 1 << 18
 #: Hashes that meet the multipliers at a time.
 CHUNK = 256
 
@@ -82,16 +88,18 @@ def _sets(words: int):
     return run
 
 
-def _similar(batches):
+def _alike(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether sorted sets have a similarity of LEAST or more."""
     p, q = LEAST
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")  # two sorted runs
+    shared = int((both[1:] == both[:-1]).sum())
+    return q * shared >= p * (len(both) - shared)
+
+
+def _similar(batches):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([u, v])
-            both.sort(kind="stable")  # two sorted runs
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(q * shared >= p * (len(both) - shared))
+        keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"))]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -114,56 +122,74 @@ def _to_centres(at: DataFrame, turn: int) -> DataFrame:
     return first.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
-def _of_group(held) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b) of a group, or of a tile of a large one, that may be similar and are not of one component."""
-    s, n, f, c, side = (np.concatenate(x) for x in zip(*held))
+def _common(p: set[int], q: set[int]) -> int:
+    return min(p & q)
+
+
+def _of_group(held, g0: int) -> tuple[list[int], list[int]]:
+    """Links (a, b) of a group, or of a tile of a large one, between sets that are similar and not yet of one component.
+
+    Sets that share further groups meet in the least of them alone."""
+    s, n, f, c, side, x, gs = (np.concatenate(h) for h in zip(*held))
     p, q = LEAST
-    x, y = (np.flatnonzero(side != 2), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(s)), np.arange(len(s)))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in pairs_between(f[x], f[y], LIMIT):
-        i, j = x[i], y[j]
+    forest, at = _Forest(len(np.unique(c))), np.unique(c, return_inverse=True)[1].tolist()
+    u, v = (np.flatnonzero(side != 2), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(s)), np.arange(len(s)))
+    own, of = [np.frombuffer(b, np.uint64) for b in x], [set(g.tolist()) for g in gs]
+    a, b = [], []
+    for i, j in pairs_between(f[u], f[v], LIMIT):
+        i, j = u[i], v[j]
         ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
         ok &= side.any() | (i < j)
-        a.append(np.minimum(s[i[ok]], s[j[ok]]))
-        b.append(np.maximum(s[i[ok]], s[j[ok]]))
-    return np.concatenate(a), np.concatenate(b)
+        for k, m in zip(i[ok].tolist(), j[ok].tolist()):
+            if forest.root(at[k]) != forest.root(at[m]) and _common(of[k], of[m]) == g0 and _alike(own[k], own[m]):
+                forest.join(at[k], at[m])
+                a.append(int(min(s[k], s[m])))
+                b.append(int(max(s[k], s[m])))
+    return a, b
 
 
 def _by_pivots(frames):
     """Frames hold whole groups one after another: rows are sorted by group within a partition."""
     import pandas as pd
 
-    key, held = None, []
+    key, first, held = None, None, []
 
     def out():
-        a, b = _of_group(held) if sum(len(h[0]) for h in held) > 1 else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b})
+        a, b = _of_group(held, first) if sum(len(h[0]) for h in held) > 1 else ([], [])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     for pdf in frames:
         if not len(pdf):
             continue
         g = pdf["g"].to_numpy()
         begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        columns = [pdf[k].to_numpy() for k in ("s", "n", "f", "c", "side", "x", "gs")]
+        columns[2] = columns[2].view(np.uint64)
         for u, v in zip(begin.tolist(), [*begin[1:].tolist(), len(g)]):
             if held and g[u] != key:
                 yield out()
                 held = []
-            key = g[u]
-            held.append((pdf["s"].to_numpy()[u:v], pdf["n"].to_numpy()[u:v], pdf["f"].to_numpy().view(np.uint64)[u:v], pdf["c"].to_numpy()[u:v], pdf["side"].to_numpy()[u:v]))
+            key, first = g[u], int(pdf["g0"].iloc[u])
+            held.append([k[u:v] for k in columns])
     if held:
         yield out()
 
 
-def _all_pairs(at: DataFrame) -> DataFrame:
-    """(a, b): all pairs of members of a group that may be similar; groups over GROUP rows are tiled over many tasks."""
+def _in_groups(named: DataFrame, per: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the similar pairs of all members of the groups per(g). A set goes to its groups, so no pair is a row before it is
+    verified; groups over GROUP rows are tiled over many tasks."""
+    at = cut(named.select(F.explode("gs").alias("g"), "s").join(per.select("g"), "g", "left_semi"))
+    own = named.select("s", "n", "f", "c").join(at.groupBy("s").agg(F.collect_list("g").alias("gs")), "s").join(sets, "s")
     hot = cut(at.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("g", F.ceil(F.col("k") / (GROUP // 2)).cast("int").alias("tiles")))
-    j = at.join(hot, "g", "left")
-    own = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
-    plain = j.where("tiles is null").select("g", "s", "n", "f", "c", F.lit(0).alias("side"))
+    row = ["s", "n", "f", "c", "x", "gs"]
+    j = own.select(F.explode("gs").alias("g0"), *row).join(F.broadcast(hot.withColumnRenamed("g", "g0")), "g0", "left")  # as many as members by GROUP at most
+    part = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
+    plain = j.where("tiles is null").select(F.col("g0").alias("g"), "g0", *row, F.lit(0).alias("side"))
     # tile (t, u), t <= u: rows of part t meet those of part u; each part goes to all its tiles
-    t = j.where("tiles is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = t.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s", "n", "f", "c", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    return plain.unionAll(tiled).repartition("g").sortWithinPartitions("g").mapInPandas(_by_pivots, "a long, b long").distinct()
+    t = j.where("tiles is not null").withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = t.select(F.xxhash64("g0", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "g0", *row, F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    dealt = plain if not hot.count() else plain.unionAll(tiled)
+    return dealt.repartition("g").sortWithinPartitions("g", "g0").mapInPandas(_by_pivots, "a long, b long").distinct()
 
 
 def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -171,29 +197,44 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     size = members.count()
     if not size:
         return None
-    found = tested = parts = None
+    own = cut(members.groupBy("s", "n", "f").agg(F.collect_list("g").alias("gs")))
+    found = tested = parts = before = None
     for turn in range(ROUNDS + 1):
-        at = members.withColumn("c", F.col("s")) if parts is None else members.join(parts.select(F.col("id").alias("s"), F.col("component").alias("c0")), "s", "left").select("g", "s", "n", "f", F.coalesce("c0", "s").alias("c"))
-        # groups of one component stay so, and are left out from here on
-        per = at.groupBy("g", "c").agg(F.count("*").cast("double").alias("k")).groupBy("g").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open")).where("open > 0")
-        per = cut(per)
+        named = own.withColumn("c", F.col("s")) if parts is None else own.join(parts.select(F.col("id").alias("s"), F.col("component").alias("c0")), "s", "left").select("s", "n", "f", "gs", F.coalesce("c0", "s").alias("c"))
+        named = cut(named)
+        at = named.select(F.explode("gs").alias("g"), "s", "n", "f", "c")
+        per = cut(at.groupBy("g", "c").agg(F.count("*").cast("double").alias("k")).groupBy("g").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open")).where("open > 0"))
         left = per.agg(F.sum("open")).first()[0]
         if not left:
             break
-        at = cut(at.join(per.select("g"), "g", "left_semi"))
-        members = at.select("g", "s", "n", "f")
-        whole = left <= FULL * size or turn == ROUNDS
-        pairs = _all_pairs(at) if whole else _to_centres(at, turn)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        new = cut(verified(pairs, sets))
+        # all that is left meets when it is little, and when centres no longer make it less
+        whole = left <= FULL * size or turn == ROUNDS or before is not None and left > HELPS * before
+        before = left
+        if whole:
+            new = cut(_in_groups(named, per, sets))
+        else:
+            pairs = _to_centres(at, turn)
+            pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            new = cut(verified(pairs, sets))
+            tested = pairs if tested is None else tested.unionAll(pairs)
         found = new if found is None else found.unionAll(new)
-        tested = pairs if tested is None else tested.unionAll(pairs)
         parts = components(found)
         if whole:
             break
     return parts
 
 
+def maybe_among(df: DataFrame, key, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among hashes(h), those whose key is not), by a map of bits of fixed size that is broadcast."""
+    w, b, m = (free_name(df, f"__{k}") for k in "wbm")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
+    word = lambda h: F.pmod(h, F.lit(WORDS)).cast("int")
+    bits = cut(hashes.select(word(F.col("h")).alias(w), bit(F.col("h")).alias(m)).groupBy(w).agg(F.bit_or(m).alias(m)))
+    held = df.withColumns({w: word(key), b: bit(key)}).join(F.broadcast(bits), w, "left")
+    hit = F.coalesce(F.col(m).bitwiseAND(F.col(b)), F.lit(0)) != 0
+    return held.where(hit).select(*df.columns), held.where(~hit).select(*df.columns)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row per component of near-duplicates: the first by (doc_id, hash of the text), rows without id last."""
     small_batches(docs.sparkSession, 500)
@@ -206,7 +247,8 @@ def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str
     shared = of.groupBy("k", "x1", "x2").agg(F.min("g").alias("g")).select("g")
     members = cut(dealt.join(shared, "g"))
     some = members.select("s").distinct().join(rows.groupBy("s").agg(F.min("h").alias("h")), "s")
-    sets = cut(docs.select(key.alias("h"), body.alias("t")).join(some, "h").dropDuplicates(["s"]).select("s", "t").mapInArrow(_sets(words), "s long, x binary"))
+    few, _ = maybe_among(docs.select(key.alias("h"), body.alias("t")), F.col("h"), some.select("h"))
+    sets = cut(few.join(some, "h").dropDuplicates(["s"]).select("s", "t").mapInArrow(_sets(words), "s long, x binary"))
     parts = links(members, sets)
     if parts is None:
         named = rows.withColumn("c", F.col("s"))
@@ -215,5 +257,10 @@ def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str
     last = F.col("doc_id").isNull()
     keep = cut(named.groupBy("c").agg(F.min(F.struct(last.alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("m")).select("m.*"))
     names = [free_name(docs, f"__{k}") for k in ("last", "id", "h")]
+    # only rows that may be lost move: those that are not kept, and those of one id and text
+    per = named.groupBy(last.alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h").agg(F.count("*").alias("k"))
+    lost = per.join(keep.withColumn("kept", F.lit(True)), ["last", "id", "h"], "left").where("kept is null or k > 1")
     own = docs.withColumns(dict(zip(names, (F.col(doc_id).isNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), key))))
-    return own.dropDuplicates(names).join(keep.toDF(*names), names, "left_semi").select(*docs.columns)
+    doubtful, sure = maybe_among(own, F.xxhash64(*names), lost.select(F.xxhash64("last", "id", "h").alias("h")))
+    some = doubtful.dropDuplicates(names).join(keep.toDF(*names), names, "left_semi")
+    return sure.unionByName(some).select(*docs.columns)

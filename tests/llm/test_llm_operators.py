@@ -762,6 +762,26 @@ def test_near_duplicates_against_exact_jaccard(spark, full, monkeypatch):
     assert neardup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_make_no_rows_of_unlike_pairs(spark, monkeypatch):
+    """Copies whose similarity to each other is below 0.8 share groups; what is written grows with sets, not with their pairs."""
+    from proxima.llm import neardup
+
+    r, n, written = random.Random(5), 120, []
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(300)], []
+    for i in range(n):
+        copy = list(base)
+        for at in r.sample(range(0, 300, 6), 5):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    cut = neardup.cut
+    monkeypatch.setattr(neardup, "FULL", 10**9)
+    monkeypatch.setattr(neardup, "cut", lambda df, *old: written.append((df.columns, (out := cut(df, *old)).count())) or out)
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(x["doc_id"] for x in got.collect()) == brute_kept(rows)
+    assert max(k for columns, k in written if columns == ["a", "b"]) <= 3 * n
+
+
 def test_near_duplicates_without_or_with_repeated_ids(spark):
     """Different texts of one id both stay; copies without id do not."""
     from proxima.llm.neardup import one_of_each
