@@ -92,34 +92,52 @@ def best_lloyd(points: DataFrame, k: int, rounds: int = 10, runs: int = 10, seed
     return cut(ends.join(F.broadcast(best), "seed").drop("seed"), ends)
 
 
+#: Distances that local search holds at a time.
+HELD = 1 << 23
+
+
 def _swap(x: np.ndarray, w: np.ndarray, starts: np.ndarray, k: int, swaps: int) -> np.ndarray:
     """Indices of k centres by single-swap local search: exchanges that save one per cent or more, until none is found.
 
     starts: a row of draws per run; a run begins with the points of its least draws."""
-    best = (np.inf, np.zeros(0, int))
-    d = np.maximum(((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T), 0)
+    n, sq, best = len(x), (x * x).sum(1), (np.inf, np.zeros(0, int))
+    step = max(2, HELD // max(1, n))
+
+    def between(at) -> np.ndarray:
+        """Squared distances of all points to those at."""
+        d = 2 * x @ x[at].T
+        np.subtract(sq[:, None] + sq[None, at], d, out=d)
+        return np.maximum(d, 0, out=d)
+
+    whole = between(slice(None)) if step >= n else None
     for draws in starts:
         own = np.argsort(draws, kind="stable")[:k].copy()
-        cost = float((d[:, own].min(1) * w).sum())
+        to = between(own) if whole is None else whole[:, own]
+        cost = float((to.min(1) * w).sum())
         for _ in range(swaps):
-            save = None
-            for out in range(len(own)):
-                rest = np.delete(own, out)
-                near = d[:, rest].min(1) if len(rest) else np.full(len(x), np.inf)
-                costs = (np.minimum(d, near[:, None]) * w[:, None]).sum(0)
-                at = int(costs.argmin())
-                if costs[at] < 0.99 * cost and (save is None or costs[at] < save[0]):
-                    save = (float(costs[at]), out, at)
+            save, costs = None, np.empty((len(own), n))
+            near = [np.delete(to, out, 1).min(1) if len(own) > 1 else np.full(n, np.inf) for out in range(len(own))]
+            for at in range(0, n, step):
+                d = between(slice(at, at + step)) if whole is None else whole
+                for out, rest in enumerate(near):
+                    m = np.minimum(d, rest[:, None])
+                    m *= w[:, None]
+                    costs[out, at : at + step] = m.sum(0)
+            for out, at in enumerate(costs.argmin(1).tolist()):
+                if costs[out, at] < 0.99 * cost and (save is None or costs[out, at] < save[0]):
+                    save = (float(costs[out, at]), out, at)
             if save is None:
                 break
             cost, own[save[1]] = save[0], save[2]
+            to[:, save[1]] = between([save[2]])[:, 0] if whole is None else whole[:, save[2]]
         if cost < best[0]:
             best = (cost, own)
     return best[1]
 
 
 def single_swap(points: DataFrame, k: int, node: str = "node", seed: int = 1, runs: int = 3, swaps: int = 50) -> DataFrame:
-    """(node, centre, c) by local search inside every node, whose points must fit one task; all pairs of a node are held."""
+    """(node, centre, c) by local search inside every node, whose points must fit one task. Its pairs are made in
+    blocks, anew in each step, so time grows with the square of a node's points and memory with the points."""
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         own = _swap(np.stack(pdf["v"].to_numpy()), pdf["w"].to_numpy(), np.stack(pdf["u"].to_numpy()).T, k, swaps)

@@ -259,3 +259,22 @@ def test_grid_and_repeats(spark):
     runs = H.repeated(lambda s: P.uniform_nodes(p, 3, s).groupBy("node").count(), [1, 2])
     assert M.mean_std(runs, ["node"], "count").count() == 3
     assert H.sigma_sweep(lambda s: A.affinity(p, s).agg(F.sum("a").alias("a")), [0.5, 1.0]).count() == 2
+
+
+def test_local_search_holds_no_matrix_of_a_node():
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    n = 5000
+    x = r.normal(size=(n, 8)) + 6 * r.normal(size=(5, 8))[r.integers(0, 5, n)]
+    tracemalloc.start()
+    own = C._swap(x, np.ones(n), r.random((1, n)), 3, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = ((x[:, None, :] - x[None, own, :]) ** 2).sum(2)
+    others = ((x[:, None, :] - x[None, ::50, :]) ** 2).sum(2)
+    cost = d.min(1).sum()
+    for out in range(3):  # no exchange saves over one per cent
+        rest = np.delete(d, out, 1).min(1)
+        assert np.minimum(others, rest[:, None]).sum(0).min() >= 0.99 * cost - 1e-6
+    assert most < 8 * n * n
