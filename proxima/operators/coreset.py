@@ -92,8 +92,8 @@ def best_lloyd(points: DataFrame, k: int, rounds: int = 10, runs: int = 10, seed
     return cut(ends.join(F.broadcast(best), "seed").drop("seed"), ends)
 
 
-#: Distances that local search holds at a time.
-HELD = 1 << 23
+#: Distances of a node that local search keeps; those that it makes at a time where there are more.
+HELD, MADE = 1 << 23, 1 << 20
 
 
 def _swap(x: np.ndarray, w: np.ndarray, starts: np.ndarray, k: int, swaps: int) -> np.ndarray:
@@ -101,7 +101,7 @@ def _swap(x: np.ndarray, w: np.ndarray, starts: np.ndarray, k: int, swaps: int)
 
     starts: a row of draws per run; a run begins with the points of its least draws."""
     n, sq, best = len(x), (x * x).sum(1), (np.inf, np.zeros(0, int))
-    step = max(2, HELD // max(1, n))
+    step = max(2, n if n * n <= HELD else MADE // n)
 
     def between(at) -> np.ndarray:
         """Squared distances of all points to those at."""
