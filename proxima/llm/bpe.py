@@ -6,32 +6,42 @@ leftmost pair of least rank until no word has a pair. Very long words are first
 spans the two bytes, and the parts go through the same step in a loop that keeps only the current state and contracts all
 occurrences of the least pair at once where no pair that this creates can have a lower rank.
 
-Distinct words are encoded once while a task remembers them; a document's ids are those of its words in order. Null
-texts are empty: no tokens. Repeated rows are encoded like any others; an empty table gives no rows.
+Distinct words are encoded once while a task remembers them, and decoded from their ids likewise; a document's ids are
+those of its words in order, put together by numbers of distinct words. Null texts are empty: no tokens. Repeated rows
+are encoded like any others; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-#: Pieces of text that a task remembers; bytes of the words that one query takes; the longest word in it.
+#: A task remembers this many pieces of text to twice as many; bytes of the words that one query takes; the longest word in it.
 KEPT, QUERY_BYTES, LONG = 400_000, 400_000, 64
 #: A part of a long word up to this many bytes takes the recursive query, whose rows grow with the square.
 PART = 2000
 #: White space as the patterns of tokenisers see it, beyond blank and newline.
 OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 
-#: Between an ASCII letter or digit and ASCII punctuation other than the apostrophe, words of the pattern always end.
-SEAM = re.compile(r"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+#: Texts whose pieces only the whole pattern finds: two kinds of white space meet, or there is other white space.
+UNEVEN = r"[ \n][ \n]|[" + "".join(f"\\x{{{ord(c):x}}}" for c in OTHER_SPACE) + "]"
+#: Elsewhere words of the pattern always end before a blank, around a newline, and between an ASCII letter or digit and ASCII
+#: punctuation other than the apostrophe: where a byte and the next share a bit.
+BEFORE, AFTER = np.full(256, 1, np.uint8), np.full(256, 2, np.uint8)
+AFTER[list(b" \n")] |= 1
+BEFORE[ord("\n")] |= 2
+BEFORE[[c for c in range(128) if chr(c).isalnum()]] |= 4
+AFTER[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] |= 4
+BEFORE, AFTER = BEFORE.tobytes(), AFTER.tobytes()
 
 PAIRS = "SELECT q.w, q.pos, q.nxt, (m.m::BIGINT << 32) | q.pos AS o, m.m FROM {rows} q JOIN merges m ON ((q.tok::BIGINT << 32) | q.ntok) = m.k"
 #: One contraction of each word's first pair of least rank; `dead` is the position that goes.
@@ -59,7 +69,33 @@ least AS (SELECT i, m, i - row_number() OVER (ORDER BY i) AS run, twin FROM hit
 taken AS (SELECT i, m FROM least l WHERE (NOT twin OR (i - (SELECT min(i) FROM least x WHERE x.run = l.run)) % 2 = 0)
           AND (i = (SELECT min(i) FROM least) OR m IN (SELECT m FROM safe)))
 SELECT n.pos, coalesce(t.m, n.tok)::INT AS tok FROM n LEFT JOIN taken t ON n.i = t.i WHERE n.i - 1 NOT IN (SELECT i FROM taken)"""
-DECODE = "SELECT s.w, string_agg(v.hex, '' ORDER BY s.pos) AS bytes FROM seqs s JOIN vocab v ON s.tok = v.tok GROUP BY s.w ORDER BY s.w"
+DECODE = "SELECT s.w, unhex(string_agg(v.hex, '' ORDER BY s.pos)) AS bytes FROM seqs s JOIN vocab v ON s.tok = v.tok GROUP BY s.w ORDER BY s.w"
+
+
+def remembered(kept: list[dict], keys: list, make: Callable[[list], list]) -> list:
+    """make's values for distinct keys, or those in `kept`: its first dictionary takes what is seen, once full it replaces the second."""
+    young, old = kept
+    values = list(map(young.get, keys))
+    unseen = [i for i, v in enumerate(values) if v is None]
+    for i in unseen:
+        values[i] = old.get(keys[i])
+    new = [i for i in unseen if values[i] is None]
+    for i, value in zip(new, make([keys[i] for i in new]), strict=True):
+        values[i] = value
+    if len(young) + len(unseen) > KEPT:
+        kept[:] = dict(zip(keys, values)), young
+    else:
+        young.update((keys[i], values[i]) for i in unseen)
+    return values
+
+
+def listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def joined(parts: pa.Array, which: np.ndarray, ends: np.ndarray, by) -> pa.Array:
+    """For each row, whose numbers end at `ends`, the parts that its numbers name, joined."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), parts.take(pa.array(which))), by)
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -95,8 +131,7 @@ class Bpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         for name, columns in {"merges": {"k": k, "m": m.astype(np.int32)}, "safe": {"m": np.flatnonzero(lowest > np.arange(len(lowest))).astype(np.int32)}, "vocab": {"tok": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]}}.items():
             self._load(name, columns)
-        self.of_piece: dict[str, str] = {}
-        self.bytes_of: dict[str, bytes] = {}
+        self.of_piece: list[dict[str, tuple[str, bytes]]] = [{}, {}]
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("arriving", pa.table(columns))
@@ -129,7 +164,7 @@ class Bpe:
     def _query(self, rest: list[int], words: list[bytes], out: list[str]) -> None:
         if rest:
             self._load("ws", self._rows([words[i] for i in rest]))
-            for i, (_, ids) in zip(rest, self.db.execute(ENCODE).fetchall(), strict=True):
+            for i, ids in zip(rest, listed(self.db.sql(ENCODE).to_arrow_table().column("ids")), strict=True):
                 out[i] = ids
 
     def _long(self, word: bytes) -> str:
@@ -153,43 +188,64 @@ class Bpe:
             out += [str(t) for (t,) in self.db.execute("SELECT tok FROM long_now ORDER BY pos").fetchall()]
         return ",".join(out)
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of the text that the pattern treats separately: single blanks and newlines between words bound them, and seams."""
-        if "\x00" in text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in OTHER_SPACE):
-            return self.words.findall(text)
-        return SEAM.sub("\x00", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-
-    def encode(self, texts: list[str]) -> list[list[str]]:
-        """Per text, the decimal ids of its pieces, each piece's joined by commas; empty pieces left out."""
-        split = [self.pieces(t) for t in texts]
-        new = set().union(*split) - self.of_piece.keys()
-        if len(self.of_piece) + len(new) > KEPT:
-            self.of_piece.clear()
-            new = set().union(*split)
-        new.discard("")
+    def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(pieces that the pattern treats separately, where those of each text end, from 0)."""
+        texts = texts.cast(pa.large_string())
+        uneven = np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False))
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = (data or pa.py_buffer(b"")).slice(at[0], at[-1] - at[0]).to_pybytes()
+        at = at - at[0]
+        bound = np.zeros(len(data) + 1, bool)
+        bound[1:-1] = np.frombuffer(data.translate(BEFORE), np.uint8)[:-1] & np.frombuffer(data.translate(AFTER), np.uint8)[1:] != 0
+        bound[at] = True
+        starts = np.flatnonzero(bound)
+        ends = np.searchsorted(starts, at)
+        found = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data))
+        if not len(uneven):
+            return found, ends
+        parts, sizes, last = [], np.diff(ends), 0
+        for i in uneven.tolist():
+            own = self.words.findall(texts[i].as_py())
+            parts += [found[last : ends[i]], pa.array(own, pa.large_string())]
+            sizes[i], last = len(own), ends[i + 1]
+        return pa.concat_arrays([*parts, found[last:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _ids(self, new: list[str]) -> list[str]:
+        """The decimal ids of each piece, joined by commas."""
         plain = [p for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()]  # one word of the pattern
-        self.of_piece.update(zip(plain, self.encode_words(list(map(str.encode, plain)))))
-        rest = {p: self.words.findall(p) for p in new - self.of_piece.keys()}
+        out = dict(zip(plain, self.encode_words(list(map(str.encode, plain)))))
+        rest = {p: self.words.findall(p) for p in new if p not in out}
         words = list(set().union(*rest.values()))
         ids = dict(zip(words, self.encode_words(list(map(str.encode, words)))))
-        self.of_piece.update((p, ",".join(map(ids.__getitem__, ws))) for p, ws in rest.items())
-        get = self.of_piece.get
-        return [list(filter(None, map(get, s))) for s in split]
-
-    def decode(self, sequences: list[list[str]]) -> list[bytes]:
-        """The bytes of id sequences, each given as parts (decimal ids joined by commas)."""
-        new = set().union(*sequences) - self.bytes_of.keys()
-        if len(self.bytes_of) + len(new) > KEPT:
-            self.bytes_of.clear()
-            new = set().union(*sequences)
-        if new:
-            order = list(new)
-            n = np.fromiter((s.count(",") + 1 for s in order), np.int64, len(order))
-            tokens = np.array(list(map(int, ",".join(order).split(","))), np.int32)
-            self._load("seqs", {"w": np.repeat(np.arange(len(order), dtype=np.int32), n), "pos": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "tok": tokens})
-            for w, data in self.db.execute(DECODE).fetchall():
-                self.bytes_of[order[w]] = bytes.fromhex(data)
-        return [b"".join(map(self.bytes_of.__getitem__, s)) for s in sequences]
+        out.update((p, ",".join(map(ids.__getitem__, ws))) for p, ws in rest.items())
+        return [out[p] for p in new]
+
+    def numbered(self, texts: pa.Array) -> tuple[list[tuple[str, bytes]], np.ndarray, np.ndarray]:
+        """(distinct pieces as ids, decimal and joined by commas, and as the bytes that these ids decode to; which of them the pieces have, in order; where those of each text end, from 0)."""
+
+        def both(new: list[str]) -> list[tuple[str, bytes]]:
+            ids = self._ids(new)
+            return list(zip(ids, self.decode(ids), strict=True))
+
+        found, ends = self.pieces(texts)
+        coded = found.dictionary_encode()
+        return remembered(self.of_piece, listed(coded.dictionary), both), coded.indices.to_numpy(), ends
+
+    def encode(self, texts: list[str]) -> list[list[str]]:
+        """Per text, the decimal ids of its pieces, each piece's joined by commas."""
+        coded, which, ends = self.numbered(pa.array(texts, pa.string()))
+        return [[coded[i][0] for i in which[a:b].tolist()] for a, b in zip(ends, ends[1:])]
+
+    def decode(self, sequences: list[str]) -> list[bytes]:
+        """The bytes of id sequences, decimal ids joined by commas."""
+        if not sequences:
+            return []
+        lists = pc.split_pattern(pa.array(sequences, pa.large_string()), ",")
+        n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        tokens = lists.flatten().cast(pa.int32()).to_numpy()
+        self._load("seqs", {"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "tok": tokens})
+        return listed(self.db.sql(DECODE).to_arrow_table().column("bytes"))
 
 
 _OPEN: dict[tuple[str, str], Bpe] = {}
@@ -207,13 +263,16 @@ def _encoded(path: str, pattern: str, out: str):
     def run(batches):
         coder = _bpe(path, pattern)
         for batch in batches:
-            parts = coder.encode(batch.column("text").to_pylist())
-            joined = [",".join(p) for p in parts]
-            counts = pa.array([s.count(",") + 1 if s else 0 for s in joined], pa.int64())
+            coded, which, ends = coder.numbered(batch.column("text"))
+            parts = pa.array([ids for ids, _ in coded], pa.large_string())
+            tokens = np.concatenate([[0], np.cumsum((pc.count_substring(parts, ",").to_numpy() + 1)[which])])[ends]
+            whole = joined(parts, which, ends, pa.scalar(",", pa.large_string()))
             if out == "ids":
-                columns = {"n_tokens": counts, "ids": pa.array([list(map(int, s.split(","))) if s else [] for s in joined], pa.list_(pa.int32()))}
+                numbers = pc.split_pattern(whole.filter(pc.not_equal(whole, "")), ",").flatten().cast(pa.int32())
+                columns = {"n_tokens": np.diff(tokens), "ids": pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), numbers)}
             else:
-                columns = {"n_tokens": counts, "ids_sha256": [hashlib.sha256(s.encode()).hexdigest() for s in joined], "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in coder.decode(parts)]}
+                decoded = joined(pa.array([data for _, data in coded], pa.large_binary()), which, ends, pa.scalar(b"", pa.large_binary()))
+                columns = {"n_tokens": np.diff(tokens), "ids_sha256": [hashlib.sha256(s.as_buffer()).hexdigest() for s in whole], "decoded_sha256": [hashlib.sha256(d.as_buffer()).hexdigest() for d in decoded]}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns})
 
     return run
@@ -235,8 +294,12 @@ def _decoded(path: str, pattern: str):
     def run(batches):
         coder = _bpe(path, pattern)
         for batch in batches:
-            parts = [[str(i) for i in ids or []] for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "data": pa.array(coder.decode(parts), pa.binary())})
+            lists = batch.column("ids")
+            coded = lists.flatten().dictionary_encode()
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            parts = coder.decode(list(map(str, listed(coded.dictionary))))
+            data = joined(pa.array(parts, pa.large_binary()), coded.indices.to_numpy(), ends, pa.scalar(b"", pa.large_binary()))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "data": data.cast(pa.binary())})
 
     return run
 

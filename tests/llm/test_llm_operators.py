@@ -407,6 +407,44 @@ def test_long_words(monkeypatch):
         assert ",".join(b.encode([t])[0]) == ",".join(map(str, e.encode_ordinary(t)))
 
 
+def test_frequent_words_stay_known(monkeypatch):
+    import public_tokenizers
+
+    from proxima.llm import bpe
+
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    b = bpe.Bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    asked, encode_words = Counter(), b.encode_words
+    monkeypatch.setattr(b, "encode_words", lambda words: asked.update(words) or encode_words(words))
+    letters = "bcdfghjklm"
+    for i in range(20):
+        rare = " ".join(f"q{letters[i // 10]}{letters[i % 10]}{c}zu" for c in letters)
+        b.encode([f"Drostimer {rare} vexanible.", f"Drostimer {rare}"])
+    assert asked[b"Drostimer"] == asked[b" vexanible"] == 1 and len(asked) > 200
+
+
+def test_pieces_of_mixed_batches():
+    import public_tokenizers
+    import pyarrow as pa
+    import tiktoken
+
+    from proxima.llm import bpe
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    b = bpe.Bpe(path, pattern)
+    e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=b.ranks, special_tokens={})
+    r = random.Random(5)
+    mixed = lambda: "".join(r.choice(" \n\t\x00\u3000'a.,1-é😀sZ_~") for _ in range(r.randint(0, 12)))
+    even = lambda: r.choice(" \n").join("".join(r.choice("'a.,1-é😀sZ_~\x00") for _ in range(r.randint(1, 6))) for _ in range(4))
+    rows = ["", *(r.choice((mixed, even))() for _ in range(600)), ""]
+    want = [",".join(map(str, e.encode_ordinary(t))) for t in rows]
+    assert list(map(",".join, b.encode(rows))) == want
+    assert b.encode([]) == [] and b.encode(["", ""]) == [[], []]
+    coded, which, ends = b.numbered(pa.array(rows).slice(200, 300))
+    assert [",".join(coded[i][0] for i in which[x:y]) for x, y in zip(ends, ends[1:])] == want[200:500]
+    assert [b"".join(coded[i][1] for i in which[x:y]) for x, y in zip(ends, ends[1:])] == [t.encode() for t in rows[200:500]]
+
+
 # ---- personal data
 def brute_spans(t):
     def luhn(d):
